@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .mix import mix_sources
+from .quality import quality_scores
+from .shard import shuffle_to_shards, utf8_size
+from .token_files import token_digests, write_tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -22,16 +26,36 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir), keep="largest")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_read(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", _sha("text").alias("kept_sha256"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_digests(spark, write_tokens(_read(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = shuffle_to_shards(_read(spark, sf_dir).select("doc_id", "text"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return written.select("doc_id", (utf8_size(F.col("text")) + 1).alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(_read(spark, sf_dir), _read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_line_dedup, op9_decontaminate)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_read(spark, sf_dir), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mix_sources, op5_line_dedup, op6_token_files, op8_shuffle_shards, op9_decontaminate, op10_quality)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
