@@ -11,6 +11,8 @@ from .line_dedup import line_dedup
 from .mix import mix_sources
 from .quality import quality_scores
 from .shard import shuffle_to_shards, utf8_size
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .token_files import token_digests, write_tokens
 
 
@@ -26,6 +28,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir), keep="largest")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_read(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir))
 
@@ -40,6 +46,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, write_tokens(_read(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_read(spark, sf_dir))
+
+
 def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = shuffle_to_shards(_read(spark, sf_dir).select("doc_id", "text"))
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
@@ -55,7 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mix_sources, op5_line_dedup, op6_token_files, op8_shuffle_shards, op9_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_mix_sources, op5_line_dedup, op6_token_files, op7_substring_dedup, op8_shuffle_shards, op9_decontaminate, op10_quality)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
