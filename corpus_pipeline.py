@@ -1,8 +1,76 @@
-"""Placeholder until the stages exist."""
+"""From raw documents to token files: five stages, each an operator of lodestrata.llm.
 
-STAGES = []
+Each stage is called with what its predecessor left, as read again from Parquet, and keeps whole rows of it; the last one
+returns the digests of the token files. Rows with one identifier and one text are one document and share its fate.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.llm import decontaminate as benchmark_words
+from lodestrata.llm import quality as classifier
+from lodestrata.llm.common import save, shuffle_partitions
+from lodestrata.llm.mix import mix_sources
+from lodestrata.llm.ngram_join import ngram_join
+from lodestrata.llm.token_files import token_digests, write_tokens
+from lodestrata.llm.windows import document_number
+
+#: Documents scored lower go.
+LEAST_SCORE = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality classifier rejects."""
+    model = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = classifier.score(docs, model, out="quality_score_")
+    return scored.where(F.col("quality_score_") >= LEAST_SCORE).drop("quality_score_")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest identifier of each group of near duplicates."""
+    stay = ngram_join(docs).where("kept").select(F.col("number").alias("number_")).distinct()
+    return docs.withColumn("number_", document_number("doc_id", "text")).join(stay, "number_", "left_semi").drop("number_")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that are contaminated by benchmark items."""
+    found = benchmark_words.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = save(found.where("contaminated").select(F.col("row").alias("key_")), "contaminated")
+    return docs.withColumn("key_", benchmark_words.text_key("doc_id", "text")).join(gone, "key_", "left_anti").drop("key_")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put all documents into the order that mixes the sources by their target weights; the files keep that order."""
+    numbered = docs.withColumn("number_", document_number("doc_id", "text"))
+    place = mix_sources(numbered, id_col="number_").groupBy(F.col("doc_id").alias("number_")).agg(F.min("position").alias("position_"))
+    placed = numbered.join(place, "number_").repartitionByRange(shuffle_partitions(spark), "position_")
+    return placed.sortWithinPartitions("position_").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write token files in the order of the files read (documents from elsewhere: of doc_id) and return what they hold."""
+    try:
+        docs = docs.select("*", F.col("_metadata.file_name").alias("file_"), F.col("_metadata.row_index").alias("index_"))
+        order = ["file_", "index_"]
+    except AnalysisException:
+        order = ["doc_id"]
+    return token_digests(spark, write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), order=order))
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminate), ("mixing to weights", mix), ("token files", tokens)]
+
+#: A classifier, a probabilistic pruning, a scheduler and a tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = save(docs, "stage")
+    return docs

@@ -30,14 +30,19 @@ def _prints(window: int, k: int, short: list[int]) -> Column:
     return F.concat(*all_) if len(all_) > 1 else all_[0]
 
 
+def text_key(id_col: str, text_col: str) -> Column:
+    """Tells rows with null or equal identifiers apart by their texts."""
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, k: int = 7, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Which words of each document stand in a window of a benchmark item: doc_id, n_words, n_hit, items (sorted), contaminated.
+    """Which words of each document stand in a window of a benchmark item: doc_id, row, n_words, n_hit, items (sorted), contaminated.
 
     A window is `window` consecutive words of an item, or the whole of a shorter one. Both sides keep the least k-gram hash of
     every window (winnowing), so documents and items that share a window share a fingerprint. Fingerprints are joined, and each
     hit is extended: the windows around it are compared with the items' windows as whole strings. Items shorter than a window
     are found by the hash of their whole length, one pass for each such length (at most window-1). A document is contaminated
-    if n_hit > 0 and 20 * n_hit >= n_words.
+    if n_hit > 0 and 20 * n_hit >= n_words. `row` is `text_key`.
 
     The benchmark's tables are broadcast only if they have `broadcast_rows` rows at most (some 100 bytes each); beyond it the same
     joins shuffle. A document's fingerprint rows are combined where they are made, so one row for each document is shuffled.
@@ -60,7 +65,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     small = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body"))
-    base = base.withColumns({"row": F.xxhash64("doc_id", "body"), "words": words_of(F.col("body"))})
+    base = base.withColumns({"row": text_key("doc_id", "body"), "words": words_of(F.col("body"))})
     found = base.withColumn("grams", grams).select("doc_id", "row", F.size("words").alias("n_words"), F.explode_outer(_prints(window, k, short)).alias("print"))
     found = found.join(small(prints.withColumn("met", F.col("print")), n_prints), "print", "left").groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.collect_set("met").alias("met"))
     found = save(found, "prints")
@@ -86,4 +91,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = found.join(matched, (found["row"] == matched["r"]) & found["doc_id"].eqNullSafe(matched["id"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     n_words = F.col("n_words").cast("long")
-    return out.select("doc_id", n_words.alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"))
+    return out.select("doc_id", found["row"], n_words.alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"))

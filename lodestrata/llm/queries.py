@@ -9,6 +9,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mix import mix_sources
+from .ngram_join import ngram_join
 from .quality import quality_scores
 from .shard import shuffle_to_shards, utf8_size
 from .substring_dedup import substring_dedup
@@ -36,6 +37,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_read(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_read(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", _sha("text").alias("kept_sha256"))
 
@@ -65,7 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_mix_sources, op5_line_dedup, op6_token_files, op7_substring_dedup, op8_shuffle_shards, op9_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_mix_sources, op4_ngram_join, op5_line_dedup, op6_token_files, op7_substring_dedup, op8_shuffle_shards, op9_decontaminate, op10_quality)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SALTS, explode_salts, forget, salt_mask, salt_of, save
@@ -191,10 +191,14 @@ def _unpacked(batch: pa.RecordBatch) -> pa.Array:
     return pa.array([open_.decompress(x.as_py()) for x in batch["body"]], pa.large_binary())
 
 
+def document_number(id_col: str, text_col: str) -> Column:
+    """Tells documents apart: the identifier, or where that is null a number over 2^62 made from the text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(F.xxhash64(F.lit(5), text_col), 2) + F.lit(2**62))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, and `row`, which tells documents apart: the identifier, or where that is null a hash of the text."""
-    number = F.col(id_col).cast("long")
-    return docs.select(number.alias("id"), F.coalesce(number, F.xxhash64(F.lit(5), text_col)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    """id, text, and `row`, the document's number."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), document_number(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
