@@ -198,7 +198,7 @@ def cluster_hdbscan(df: DataFrame, min_cluster_size: int = 5, min_samples=None,
         label, prob = hdbscan(t[["x", "y"]].to_numpy(float), min_cluster_size, min_samples or min_cluster_size, cluster_selection_epsilon)
         return pd.DataFrame({"_r": t[ROW].to_numpy(), cluster_col: label, probability_col: prob})
 
-    got = p.groupBy(F.lit(0)).applyInPandas(run, f"_r long, {cluster_col} long, {probability_col} double")
+    got = p.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"_r long, {cluster_col} long, {probability_col} double")
     out = df.join(got, F.col(ROW) == F.col("_r"), "left").drop("_r")
     return with_srid(out if had else out.drop(ROW), srid_of(df))
 
