@@ -1,0 +1,265 @@
+"""The other operators against plain Python, on tables with nulls, empty texts, ties, repeated rows and clashing column names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from lodestrata.llm import decontaminate as D
+from lodestrata.llm import rangecoder, token_files
+from lodestrata.llm.common import components
+from lodestrata.llm.exact_dedup import exact_dedup
+from lodestrata.llm.line_dedup import line_dedup
+from lodestrata.llm.mix import edf, mix_sources
+from lodestrata.llm.quality import dual_descent, held_out, quality_scores
+from lodestrata.llm.shard import shuffle_to_shards
+
+UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, salt int, row string, _bucket long"
+
+
+def corpus(n=120, seed=0):
+    rng = random.Random(seed)
+    lines = ["Shared Line number one", "  shared line NUMBER one\t", "short", "É accents here, É", "", "x" * 300]
+    texts = [None, "", "\n", "\n\n", " ", "É", "é", "ABC", "abc", "a\nb", "word " * 5000]
+    for _ in range(n):
+        texts.append("\n".join(rng.choice([*lines, "".join(rng.choice("abc d") for _ in range(20))]) for _ in range(rng.randint(0, 5))))
+    texts += texts[5:25]
+    return [(i, t, "en", f"s{min(int(rng.expovariate(0.5)), 6)}", 1, "r", 2) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_exact_dedup(spark, docs, keep):
+    groups = {}
+    for i, t, *_ in corpus():
+        groups.setdefault((t or "").translate(UP), []).append(i)
+    best = min if keep == "smallest" else max
+    want = sorted((i, best(ids), len(ids), i == best(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items() for i in ids)
+    assert sorted(map(tuple, exact_dedup(docs, keep=keep).collect())) == want
+
+
+def test_exact_dedup_null_ids_and_repeats(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (1, "b"), (1, "b"), (None, "b"), (2, None), (3, "")], "doc_id long, text string")
+    out = exact_dedup(df).collect()
+    kept = Counter((r.text_sha256, r.kept) for r in out)
+    assert all(kept[h, True] == 1 for h in {r.text_sha256 for r in out}) and len(out) == 7
+    assert exact_dedup(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("batches,fanout", [(1, 2), (4, 2), (3, 3)])
+def test_line_dedup(spark, docs, batches, fanout):
+    rows = corpus()
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(UP)
+    owner = {}
+    for i, t, *_ in rows:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 10:
+                owner[key(x)] = min(i, owner.get(key(x), i))
+    want = []
+    for i, t, *_ in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if owner.get(key(x), i) == i]
+        want.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    assert sorted(map(tuple, line_dedup(docs, batches=batches, fanout=fanout).collect())) == sorted(want)
+    assert sum(w[2] for w in want) > 50
+    assert line_dedup(docs.limit(0)).count() == 0
+
+
+def test_line_dedup_null_ids(spark):
+    df = spark.createDataFrame([(None, "a shared line"), (2, "a shared line\nx"), (2, "a shared line\nx")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in line_dedup(df).collect()) == [(0, 0), (2, 1), (2, 1)]
+
+
+def words(t):
+    return re.findall("[a-z0-9\x80-\U0010ffff]+", (t or "").translate(UP))
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_decontaminate(spark, broadcast_rows):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(25)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, text(rng.choice([3, 8, 13, 14, 30]))) for i in range(12)] + [(50, None), (51, "..."), (None, text(20)), (52, "solo")]
+    docs = [(i, text(rng.randint(0, 60))) for i in range(60)] + [(100, None), (101, ""), (102, "Solo!"), (103, "a a a a"), (None, text(30))]
+    docs += [(200 + i, f"{text(5)} {t.upper() if t else ''}, {text(9)}") for i, t in items if i is not None] + [(300, "repeated"), (300, "repeated")]
+    spans = {}
+    for i, t in items:
+        w = words(t)
+        if i is not None and w:
+            n = min(13, len(w))
+            for k in range(len(w) - n + 1):
+                spans.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+    want = []
+    for i, t in set(docs):
+        w, hit, got = words(t), set(), set()
+        for n in {len(s) for s in spans}:
+            for k in range(len(w) - n + 1):
+                if s := spans.get(tuple(w[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    got |= s
+        want.append((-1 if i is None else i, len(w), len(hit), sorted(got), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as words", "2 as row", "3 as grams")
+    out = D.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=broadcast_rows)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in out.collect())
+    assert got == sorted(want)
+    assert sum(w[4] for w in want) > 10
+    assert D.decontaminate(df, spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0 or contaminated").count() == 0
+
+
+def test_shards(spark, docs):
+    out = shuffle_to_shards(docs, shards=5, bucket_bytes=4000)
+    rows = out.collect()
+    assert Counter((r.doc_id, r.text, r._bucket_in) for r in rows) == Counter((i, t, b) for i, t, *_, b in corpus())
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    sizes = [len(s) for s in slots.values()]
+    assert sorted(slots) == list(range(5)) and max(sizes) - min(sizes) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    again = shuffle_to_shards(docs.repartition(7), shards=5, bucket_bytes=4000).collect()
+    place = lambda rs: Counter((r.doc_id, r.shard, r.slot) for r in rs)
+    assert place(again) == place(rows)
+    assert [r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot))] != sorted(r.doc_id for r in rows)
+    assert shuffle_to_shards(docs.limit(0)).count() == 0
+
+
+def test_mixing(spark, docs):
+    weights = {f"s{i}": 2.0**-i for i in range(6)}
+    out = mix_sources(docs, weights, block_rows=3).collect()
+    rows = corpus()
+    assert sorted(r.position for r in out) == list(range(len(rows)))
+    assert sorted((r.doc_id, r.source) for r in out) == sorted((i, s) for i, _, _, s, *_ in rows)
+    blocks = Counter((r.source, r.block) for r in out)
+    size = Counter(s for _, _, _, s, *_ in rows)
+    assert all(n == min(3, size[s] - 3 * b) for (s, b), n in blocks.items())
+    slot = {(r.source, r.block): r.slot for r in out}
+    assert sorted(slot.values()) == list(range(len(blocks)))
+    assert mix_sources(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, None), (None, "a"), (None, "a"), (2, "a")], "doc_id long, source string")
+    assert sorted(r.position for r in mix_sources(odd).collect()) == [0, 1, 2, 3]
+
+
+def test_edf_stays_within_a_block():
+    rng = random.Random(5)
+    for _ in range(30):
+        w = [rng.random() + 0.01 for _ in range(rng.randint(1, 9))]
+        total = sum(w)
+        w = [x / total for x in w]
+        sizes = [max(1, int(300 * x)) for x in w]
+        done, left, phase, base = [0] * len(w), list(sizes), 0, [0] * len(w)
+        order = list(edf(sizes, w))
+        assert sorted(order) == sorted((i, b) for i, n in enumerate(sizes) for b in range(n))
+        for t, (i, b) in enumerate(order):
+            assert b == done[i]
+            live = [k for k in range(len(w)) if left[k] > 0]
+            done[i] += 1
+            left[i] -= 1
+            whole = sum(w[k] for k in live)
+            for k in live:
+                assert abs((done[k] - base[k]) - (t + 1 - phase) * w[k] / whole) < 1 + 1e-3
+            if not left[i]:
+                phase, base = t + 1, list(done)
+
+
+def test_range_coder_round_trip():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 300, 5000, 70_000):
+        ids = (rng.zipf(1.2, n) % 60_000).astype(np.uint32)
+        ids[n // 2 :] = ids[: n - n // 2]
+        words_, filled = rangecoder.encode(ids, 60_000)
+        assert (rangecoder.decode(words_, filled, n, 60_000) == ids).all()
+    same = np.full(60_000, 7, np.uint32)
+    assert 2 * len(rangecoder.encode(same, 60_000)[0]) < 0.1 * len(same)
+
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_pieces_equal_whole_texts():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    parts = ["a", "b", "é", "1", " ", "  ", "\n", "\n\n", "\t", ".", ",", "'s", "'", "<|endoftext|>", "Hello", "日本", "?!", "\r\n", "it's", "\x1c", "Ⅷ", "²"]
+    texts = [None, "", " ", "\n", "a ", "a\nb", "a \nb", "x.\ny"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(1500)]
+    tok = token_files.Tokens(PATH)
+    ids, n = tok.encode(pa.array(texts))
+    at = np.concatenate([[0], np.cumsum(n)])
+    want = tok.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in want]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_token_files(spark, docs, name):
+    path = public_tokenizers.path(name)
+    out = token_files.token_digests(spark, token_files.write_tokens(docs, path, block_ids=700)).collect()
+    tok, start, want = Tokenizer.from_file(path), 0, []
+    for i, t, *_ in sorted(corpus()):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, out)) == want
+    p = token_files.write_tokens(docs, path)
+    full = {r.doc_id: r.ids for r in token_files.read_tokens(spark, p).collect()}
+    assert full[7][-1] == 0 and len(full) == len(want)
+    odd = spark.createDataFrame([(None, "a"), (None, None), (3, "b"), (3, "b")], "doc_id long, text string")
+    assert token_files.token_digests(spark, token_files.write_tokens(odd, path)).count() == 4
+    assert token_files.token_digests(spark, token_files.write_tokens(odd.limit(0), path)).count() == 0
+
+
+def test_damaged_block():
+    data = token_files.pack([1, None], np.array([2, 1]), np.array([5, 0, 0], np.uint32), 50_257)
+    names, n, ids = token_files.unpack(data)
+    assert (names, n.tolist(), ids.tolist()) == ([1, None], [2, 1], [5, 0, 0])
+    with pytest.raises(ValueError):
+        token_files.unpack(data[:40] + bytes([data[40] ^ 1]) + data[41:])
+
+
+def test_quality(spark):
+    rng = random.Random(2)
+    make = lambda good: " ".join(rng.choice(["fine", "plain", "words", "here"]) if good else rng.choice(["BUY!!", "$$$", "CLICK!!"]) for _ in range(30))
+    rows = [(i, make(i % 3 > 0)) for i in range(600)] + [(1000, None), (1001, ""), (None, "x"), (5, "plain words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as score_in", "2 as y")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)] + [(None, 1), (7, None)], "doc_id long, quality int")
+    out = quality_scores(df, labels).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out if r.doc_id is not None)
+    test = [r for r in out if r.doc_id is not None and r.doc_id < 600 and r.held_out]
+    assert len(test) > 80 and all(r.predicted == (r.doc_id % 3 > 0) for r in test)
+    assert quality_scores(df, labels.limit(0)).count() == len(rows)
+    assert quality_scores(df.limit(0), labels).count() == 0
+    assert df.where(held_out(df["doc_id"])).count() > 50
+
+
+def test_dual_descent_separates():
+    rows = [np.array([0, 2]), np.array([1, 2]), np.array([0]), np.array([1])]
+    w, b = dual_descent(rows, np.ones(3), np.array([1.0, -1, 1, -1]), np.full(4, 10.0), 100, 0)
+    assert all(np.sign(w[r].sum() + b) == s for r, s in zip(rows, [1, -1, 1, -1], strict=True))
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(90)] + [(1000 + i, 1001 + i) for i in range(40)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
