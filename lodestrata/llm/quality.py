@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import _unpacked, packed
+
 #: Places for byte 3-grams, and after them for 1- to 3-grams of word classes.
 BYTE_SLOTS, CLASS_SLOTS = 1 << 16, 1 << 15
 SLOTS = BYTE_SLOTS + CLASS_SLOTS
@@ -146,20 +148,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn from the labelled rows that aren't held out.
 
     The log-count ratios come from all those rows, counted where they are and summed by slot. The hinge-loss model is fitted on
-    the driver to a seeded sample of `sample_rows` of them (half of each class if there are as many), about 3 KB each; every
-    fifth of the sample is kept for the logistic curve. `mix` pulls the weights towards their mean size.
+    the driver to a seeded sample of at most `sample_rows` of them (half of each class), about 3 KB each, whose identifiers are
+    broadcast; every fifth of the sample is kept for the logistic curve. `mix` pulls the weights towards their mean size.
 
     Labels with nulls are left out; without labelled rows of both classes the score is their share, or 0.5.
     """
     labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(~held_out(F.col("id"))).join(labels, "id")
+    # the counts take every labelled text, which the labels meet by a shuffle of compressed texts, whatever their number
+    every = packed(docs.where(~held_out(F.col(id_col))), id_col, text_col).join(labels.hint("merge"), "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, SLOTS), np.int64)
         n = np.zeros(2, np.int64)
         for batch in batches:
             y = batch["y"].to_numpy(zero_copy_only=False)
-            for lo, hi, data, at in _chunks(batch["text"]):
+            for lo, hi, data, at in _chunks(_unpacked(batch)):
                 row, slot = indicators(data, at)
                 for c in (0, 1):
                     sums[c] += np.bincount(slot[y[lo:hi][row] == c], minlength=SLOTS)
@@ -167,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         at = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_pydict({"slot": np.append(at, -1).astype(np.int32), "n0": np.append(sums[0][at], n[0]), "n1": np.append(sums[1][at], n[1])})
 
-    counts = rows.mapInArrow(count, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most SLOTS + 1 rows
+    counts = every.mapInArrow(count, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most SLOTS + 1 rows
     slot, n0, n1 = (counts[c].to_numpy() for c in ("slot", "n0", "n1"))
     both = [int(x[slot == -1].sum()) for x in (n0, n1)]
     if not all(both):
@@ -180,8 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ratio[(p + q) < 4] = 0
 
     half = sample_rows // 2
-    share = F.when(F.col("y") == 1, half / both[1]).otherwise(half / both[0])
-    draw = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)
+    ranked = labels.withColumn("draw", F.xxhash64(F.lit(seed), "id"))
+    drawn = ranked.where("y = 0").orderBy("draw", "id").limit(half).unionByName(ranked.where("y = 1").orderBy("draw", "id").limit(half))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn.select("id", "y")), "id")  # sample_rows at most
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"id": batch["id"].slice(lo, hi - lo), "y": batch["y"].slice(lo, hi - lo), "slots": pa.ListArray.from_arrays(ends, slot.astype(np.int32))})
 
-    sample = rows.where(draw < share).mapInArrow(grams, "id long, y int, slots array<int>").toArrow().sort_by("id")
+    sample = rows.mapInArrow(grams, "id long, y int, slots array<int>").toArrow().sort_by("id")
     slots = [s.values.to_numpy() for s in sample["slots"].combine_chunks()] if sample.num_rows else []
     good = sample["y"].to_numpy() == 1
     sign = np.where(good, 1.0, -1.0)
