@@ -338,8 +338,8 @@ def attribute_join(df: DataFrame, ref_gdf=None, left_on: str = "", right_on=None
 def temporal_join(df: DataFrame, ref_gdf=None, left_on: str = "", right_on=None, strategy: str = "backward", by=None, tolerance=None, columns=None) -> DataFrame:
     """exact: left join on the time. Otherwise each row gets the reference row nearest before (backward), after (forward) or both.
 
-    Both sides are put in one time order for each `by` key and the last (next) reference row is carried along, so each side is
-    shuffled once and no pairs are made.
+    Both sides are put in one time order for each `by` key and slice of time, the last (next) reference row is carried along,
+    and from slice to slice; so no pairs are made and no key is one task's.
     """
     right_on = right_on or left_on
     by = _names(by)
@@ -357,12 +357,24 @@ def temporal_join(df: DataFrame, ref_gdf=None, left_on: str = "", right_on=None,
     right = ref.where(F.col(right_on).isNotNull()).select(*[F.col(b) for b in by], F.col(right_on).cast("timestamp_ntz").alias("_t"), value.alias("_ref"))
     left = df.select(*[F.col(b) for b in by], F.col(left_on).cast("timestamp_ntz").alias("_t"), F.struct(*df.columns).alias("_row"))
     both = left.unionByName(right, allowMissingColumns=True).withColumn("_side", F.col("_ref").isNull().cast("int"))
-    part = [F.col(b) for b in by] or [F.lit(0)]
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    lo, hi = both.agg(F.min(micros(F.col("_t"))), F.max(micros(F.col("_t")))).first()
+    slices = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = ((hi or 0) - (lo or 0)) // slices + 1
+    both = both.withColumn("_k", F.coalesce(F.floor((micros(F.col("_t")) - (lo or 0)) / width), F.lit(0)))
+    part = [F.col(b) for b in by] + [F.col("_k")]
     # at equal times references come first for backward and, in the reverse order, for forward
     back = Window.partitionBy(*part).orderBy(F.col("_t").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*part).orderBy(F.col("_t").desc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    # what a slice of time hands on to the later (earlier) ones of its key: a row for each key and slice
+    edges = both.groupBy(*part).agg(F.max_by("_ref", F.when(F.col("_ref").isNotNull(), F.col("_t"))).alias("_hi"), F.min_by("_ref", F.when(F.col("_ref").isNotNull(), F.col("_t"))).alias("_lo"))
+    keys = [F.col(b) for b in by] or [F.lit(0)]
+    before = F.last("_hi", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("_lo", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select(*[F.col(b).alias(f"_e{i}") for i, b in enumerate(by)], F.col("_k").alias("_ek"), before.alias("_before"), after.alias("_after"))
     both = both.withColumns({"_b": F.last("_ref", ignorenulls=True).over(back), "_f": F.last("_ref", ignorenulls=True).over(ahead)}).where("_side = 1")
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    both = both.join(edges, reduce(op_.and_, [F.col("_k") == F.col("_ek"), *[F.col(b).eqNullSafe(F.col(f"_e{i}")) for i, b in enumerate(by)]]))
+    both = both.withColumns({"_b": F.coalesce("_b", "_before"), "_f": F.coalesce("_f", "_after")})
     gap_b, gap_f = micros(F.col("_t")) - micros(F.col("_b.t")), micros(F.col("_f.t")) - micros(F.col("_t"))
     pick = {"backward": F.col("_b"), "forward": F.col("_f"), "nearest": F.when(gap_f.isNull() | (gap_b <= gap_f), F.col("_b")).otherwise(F.col("_f"))}[strategy]
     both = both.withColumn("_m", F.when(F.col("_t").isNotNull(), pick))

@@ -6,10 +6,11 @@ import math
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .attribute import _need
+from .graph import running_total
 from .layer import srid_of, with_srid
 from .registry import operator
 
@@ -185,8 +186,7 @@ def classify_categorical(df: DataFrame, field=None, palette="Set2", class_col: s
     counts = df.where(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     if isinstance(palette, dict):
         counts = counts.where(F.col("_v").isin([str(k) for k in palette]))
-    # ranks need one order over the distinct values; the rows themselves don't meet there
-    ranked = counts.withColumn("_c", F.row_number().over(Window.orderBy(F.desc("_n"), "_v")).cast("long"))
+    ranked = running_total(counts.withColumn("_one", F.lit(1)), [F.desc("_n"), F.col("_v")], "_one", "_c").withColumn("_c", (F.col("_c") + 1).cast("long")).drop("_one")
     if max_categories:
         ranked = ranked.where(F.col("_c") <= max_categories)
     n = ranked.count()
@@ -221,9 +221,9 @@ def normalize(df: DataFrame, field=None, method: str = "minmax", out_field=None,
     elif method == "rank":
         # ties from counts of distinct values; a running count over them
         counts = df.where(x.isNotNull()).groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
-        total = F.sum("_n").over(Window.partitionBy())
-        below = F.coalesce(F.sum("_n").over(Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.select(F.col("_x").alias("_v"), F.when(total > 1, (below + (F.col("_n") - 1) / 2) / (total - 1)).otherwise(F.lit(0.0)).alias("_r"))
+        total = df.agg(F.count(x)).first()[0]
+        below = running_total(counts, [F.col("_x")], "_n", "_below")
+        ranks = below.select(F.col("_x").alias("_v"), ((F.col("_below") + (F.col("_n") - 1) / 2) / (total - 1) if total > 1 else F.lit(0.0)).alias("_r"))
         return with_srid(df.join(ranks, x == F.col("_v"), "left").withColumn(out_field, F.col("_r")).drop("_x", "_v", "_r"), srid_of(df))
     else:
         lo, hi, mean, sd, total = df.agg(F.min(x), F.max(x), F.avg(x), F.stddev_pop(x), F.sum(x)).first()

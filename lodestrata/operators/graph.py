@@ -36,3 +36,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+
+
+def running_total(df: DataFrame, order: list, n_col: str, out: str) -> DataFrame:
+    """`out`: the sum of n_col over the rows before, in that order. Rows are range-partitioned; only a sum for each partition meets in one task."""
+    from pyspark.sql import Window
+
+    part = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sums = part.groupBy("_p").agg(F.sum(n_col).alias("_s"))
+    sums = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum(n_col).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return part.withColumn("_own", own).join(F.broadcast(sums), "_p").withColumn(out, F.col("_own") + F.col("_before")).drop("_p", "_own", "_before")  # a row for each partition

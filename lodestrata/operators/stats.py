@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .attribute import _need
-from .graph import components, cut
+from .graph import components, cut, running_total
 from .layer import GEOM, ROW, identified, metric, nearest, pair_shapes, pairs, srid_of, st_centroid, st_x, st_y, transformed, with_srid, udf
 from .registry import operator
 
@@ -44,7 +44,7 @@ def cluster_dbscan(df: DataFrame, eps: float = 100.0, min_samples: int = 5, clus
         cores = df.where(F.col(GEOM).isNotNull()).select(F.col(ROW).alias("core"))
     between = links.join(cores, F.col("a") == F.col("core"), "left_semi").join(cores.withColumnRenamed("core", "c2"), F.col("b") == F.col("c2"), "left_semi")
     root = cores.join(components(between), F.col("core") == F.col("node"), "left").select("core", F.coalesce("root", "core").alias("root"))
-    order = root.select("root").distinct().withColumn(cluster_col, F.row_number().over(Window.orderBy("root")) - 1)  # one row for each cluster
+    order = running_total(root.select("root").distinct().withColumn("_one", F.lit(1)), [F.col("root")], "_one", cluster_col).drop("_one")
     root = cut(root.join(order, "root").select("core", cluster_col))
     border = links.join(cores, F.col("a") == F.col("core"), "left_anti").join(root, F.col("b") == F.col("core")).groupBy(F.col("a").alias("core")).agg(F.min(cluster_col).alias(cluster_col))
     label = root.unionByName(border)
