@@ -43,7 +43,7 @@ def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of a base and of its inverse modulo 2^64."""
     got = _powers.get(which)
     if got is None or len(got[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = (n + (1 << 18)) >> 18 << 18
         base = int(BASES[which])
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
@@ -178,7 +178,7 @@ def _texts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, at - at[0]
 
 
-def _portions(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _portions(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of the column."""
     size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
     ends = np.flatnonzero(np.diff(np.cumsum(size) // most, append=-1)) + 1
@@ -260,7 +260,7 @@ def find_repeats(docs: DataFrame, tokens: Callable, slices: Callable, settle: Ca
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _portions(batch, "body", 2 << 20):
+            for part in _portions(batch, "body", 512 << 10):
                 want = part["want"]
                 data, at = _texts(_unpacked(part))
                 values, bounds = tokens(data, at)
@@ -326,7 +326,7 @@ def kept_parts(docs: DataFrame, spans: DataFrame, work: Callable, schema: str, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _portions(batch, "body", 2 << 20):
+            for part in _portions(batch, "body", 512 << 10):
                 data, at = _texts(_unpacked(part))
                 n = pc.fill_null(pc.list_value_length(part["spans"]), 0).to_numpy(zero_copy_only=False)
                 w = part["spans"].flatten()
