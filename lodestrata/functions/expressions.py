@@ -64,6 +64,8 @@ _COMPARE = {ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.Lt: operator.lt, as
 class _Compiler:
     def __init__(self, types: dict[str, str], strings: bool = True, chains: bool = True, calls: bool = True, tables=None):
         self.types, self.strings, self.chains, self.calls, self.tables = types, strings, chains, calls, tables or {}
+        #: In a row filter null is as good as false outside of `not`, and a bare comparison can be pushed to the scan.
+        self.bare = False
 
     def column(self, text: str) -> Column:
         if len(text) > MOST_CHARS:
@@ -96,10 +98,13 @@ class _Compiler:
             return F.col(n.id)
         if isinstance(n, ast.BoolOp):
             return reduce(operator.and_ if isinstance(n.op, ast.And) else operator.or_, [self.of(v) for v in n.values])
+        if isinstance(n, ast.UnaryOp) and isinstance(n.op, (ast.Not, ast.Invert)):
+            was, self.bare = self.bare, False
+            x = self.of(n.operand)
+            self.bare = was
+            return ~F.coalesce(x, F.lit(False))
         if isinstance(n, ast.UnaryOp):
             x = self.of(n.operand)
-            if isinstance(n.op, ast.Not) or isinstance(n.op, ast.Invert):
-                return ~F.coalesce(x, F.lit(False))
             return -x if isinstance(n.op, ast.USub) else x
         if isinstance(n, ast.BinOp):
             if isinstance(n.op, (ast.BitAnd, ast.BitOr)):
@@ -127,11 +132,16 @@ class _Compiler:
             if not isinstance(b, (ast.List, ast.Tuple, ast.Set)):
                 raise ExpressionError("`in` needs a list")
             values = [ast.literal_eval(x) for x in b.elts]
-            hit = F.coalesce(self.of(a).isin(values), F.lit(False))
+            hit = self.of(a).isin(values)
+            if self.bare and isinstance(op, ast.In):
+                return hit
+            hit = F.coalesce(hit, F.lit(False))
             return hit if isinstance(op, ast.In) else ~hit
         if type(op) not in _COMPARE:
             raise _bad(op)
         x, y = self.of(a), self.of(b)
+        if self.bare and not isinstance(op, ast.NotEq):
+            return _COMPARE[type(op)](x, y)
         # missing values: unequal to everything, otherwise false
         return F.coalesce(_COMPARE[type(op)](x, y), F.lit(isinstance(op, ast.NotEq)))
 
@@ -159,11 +169,21 @@ def _types(df) -> dict[str, str]:
     return dict(df.dtypes)
 
 
-def filter_column(df, text: str) -> Column:
-    """True where the expression holds; missing counts as false. Single = and <> are read as == and !=."""
+def _plain(text: str) -> str:
     text = re.sub(r"(?<![<>=!])=(?!=)", "==", text.replace("<>", "!="))
-    text = re.sub(r"\b(AND|OR|NOT|IN)\b", lambda m: m[0].lower(), text)
-    return F.coalesce(_Compiler(_types(df)).column(text), F.lit(False))
+    return re.sub(r"\b(AND|OR|NOT|IN)\b", lambda m: m[0].lower(), text)
+
+
+def filter_column(df, text: str) -> Column:
+    """True where the expression holds, else false. Single = and <> are read as == and !=."""
+    return F.coalesce(_Compiler(_types(df)).column(_plain(text)), F.lit(False))
+
+
+def where_column(df, text: str) -> Column:
+    """The same for a row filter: null where filter_column may say false, so that comparisons reach the scan as they are."""
+    c = _Compiler(_types(df))
+    c.bare = True
+    return c.column(_plain(text))
 
 
 def value_column(df, text: str) -> Column:

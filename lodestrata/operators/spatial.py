@@ -47,7 +47,7 @@ def _reference(df, ref_gdf=None, wkt=None, geojson=None, ref_filter=None):
     if ref_gdf is None:
         return None
     if ref_filter:
-        ref_gdf = ref_gdf.where(E.filter_column(ref_gdf, ref_filter))
+        ref_gdf = ref_gdf.where(E.where_column(ref_gdf, ref_filter))
     return aligned(ref_gdf, df)
 
 
@@ -72,7 +72,7 @@ def _matched(df: DataFrame, ref: DataFrame, predicate: str, by: float = 0.0) ->
 def filter_(df: DataFrame, expression: str = "", spatial_predicate=None, ref_gdf=None, ref_wkt=None, ref_geojson=None, ref_filter=None, buffer_distance=None, crs_meters="EPSG:3857", compat_double_buffer: bool = False) -> DataFrame:
     """Rows for which the expression holds and the predicate holds against the union of the reference (grown by buffer_distance)."""
     if expression:
-        df = df.where(E.filter_column(df, expression))
+        df = df.where(E.where_column(df, expression))
     if not spatial_predicate:
         return df
     if spatial_predicate not in PREDICATES:

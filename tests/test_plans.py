@@ -25,7 +25,11 @@ def ids(df):
 
 
 def test_filters(shops):
-    f = lambda t: ids(shops.where(E.filter_column(shops, t)))
+    def f(t):
+        got = ids(shops.where(E.filter_column(shops, t)))
+        assert ids(shops.where(E.where_column(shops, t))) == got
+        return got
+
     assert f("pop > 10") == [2, 4]
     assert f("10 <= pop < 40 and grp == 'x'") == [1, 2]
     assert f("name in ['a', 'c'] or pop == 40") == [1, 3, 4]
@@ -82,6 +86,23 @@ def test_pipelines(shops):
     assert [s["status"] for s in pipeline.scenarios([v1, [{"capability": "nothing"}], v1], shops)] == ["ok", "failed"]
 
 
+def test_plans_reach_the_scan(spark, shops, tmp_path):
+    path = str(tmp_path / "shops")
+    shops.write.parquet(path)
+    steps = {"steps": [{"capability": "filter", "params": {"expression": "pop > 10 and grp in ['x', 'y'] and not name == 'b'"}}, {"capability": "select_columns", "params": {"fields": ["id"]}}]}
+    plan = pipeline.explain(steps, spark.read.parquet(path))["step1"]
+    assert "GreaterThan(pop,10)" in plan and "In(grp" in plan and "ReadSchema: struct<id:bigint,name:string,pop:bigint,grp:string>" in plan
+    assert ids(pipeline.run(steps, spark.read.parquet(path))) == [4]
+
+
+def test_spatial_joins_compare_boxes_first(spark):
+    from lodestrata.operators.layer import pairs
+
+    a = squares(spark, (0, 0, 2, 2), (5, 5, 6, 6))
+    plan = pairs(a, a, size=10.0)._jdf.queryExecution().toString()
+    assert "xmin" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_manifest(spark, shops, tmp_path):
     m = {"models": {"big": {"from": "shops", "transform": [{"capability": "filter", "params": {"expression": "pop > 10"}}], "materialize": "table", "assert": [{"type": "not_null", "column": "pop"}, {"type": "unique", "column": "id"}, {"type": "expect_rows", "min": 1}]}, "named": {"from": "big", "with": "shops", "transform": [{"capability": "attribute_join", "params": {"left_on": "id", "columns": ["name"]}}]}}}
     out = pipeline.run_manifest(spark, m, {"shops": shops}, str(tmp_path))
