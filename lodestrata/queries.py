@@ -832,3 +832,96 @@ def window_counts(spark, d):
 def session_counts(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return S.sessions(e, "ts", "6 hours", ["user_id"]).select("user_id", "n")
+
+
+# ---------------------------------------------------------------- files made from numbers, then read
+
+
+def _folder(spark) -> str:
+    import uuid
+
+    from .operators.graph import shared_folder
+
+    return f"{shared_folder(spark)}/lodestrata/files-{uuid.uuid4().hex}"
+
+
+def _raster(spark, shift: int = 0, x0: float = 0.0) -> str:
+    """Four bands of 104 x 104 pixels of 100 m: (row * 31 + col * 17 + band + shift) % 97 + 1."""
+    import numpy as np
+
+    from .operators.raster import _store
+    from .sources.geotiff import Raster
+
+    i, j = np.mgrid[0:104, 0:104]
+    data = np.stack([(i * 31 + j * 17 + b + shift * (i < 20)) % 97 + 1 for b in range(1, 5)]).astype(np.float32)
+    path = _folder(spark) + ".tif"
+    _store(spark, path, Raster(data, x0, 10400.0, 100.0, 100.0, 3857, -9999.0))
+    return path
+
+
+_PIXELS = "(select i, j, (i * 31 + j * 17 + 1) % 97 + 1 as v, (i * 31 + j * 17 + 3) % 97 + 1 as red, (i * 31 + j * 17 + 4) % 97 + 1 as nir, (i * 31 + j * 17 + 1 + 5 * cast(i < 20 as int)) % 97 + 1 as v5, j * 100 + 50 as x, 10400 - i * 100 - 50 as y from range(0, 104) a(i), range(0, 104) b(j))"
+
+
+@query(f"select n_nationkey, cast(min(v) as double) as rs_min, cast(max(v) as double) as rs_max, round(avg(v), 6) as rs_mean, round(stddev_pop(v), 6) as rs_std, count(*) as rs_count from {_N} n, {_PIXELS} p where x between x0 and x0 + 2400 and y between y0 and y0 + 2400 group by 1")
+def zonal_stats(spark, d):
+    out = apply("zonal_stats", nations(spark, d), raster_path=_raster(spark))
+    return out.select("n_nationkey", "rs_min", "rs_max", F.round("rs_mean", 6).alias("rs_mean"), F.round("rs_std", 6).alias("rs_std"), "rs_count")
+
+
+@query(f"select round(min(n), 5) as ndvi_min, round(max(n), 5) as ndvi_max, round(avg(n), 5) as ndvi_mean from (select (nir - red) / (nir + red) as n from {_PIXELS})")
+def ndvi(spark, d):
+    return apply("ndvi", table(spark, d, "region"), raster_path=_raster(spark), output_path=_folder(spark) + ".tif").select(*[F.round(c, 5).alias(c) for c in ("ndvi_min", "ndvi_max", "ndvi_mean")])
+
+
+def _bounds(out: DataFrame) -> DataFrame:
+    b = shapes(lambda g: [round(v, 3) for v in g.bounds()], "array<double>")(GEOM)
+    return out.select(*[b[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@query(f"select cast(min(x0) as double) as x0, cast(min(y0) as double) as y0, cast(max(x0) + 2400 as double) as x1, cast(max(y0) + 2400 as double) as y1 from {_N} where n_regionkey = 1")
+def raster_clip(spark, d):
+    return _bounds(apply("raster_clip", nations(spark, d).where("n_regionkey = 1"), raster_path=_raster(spark), output_path=_folder(spark) + ".tif"))
+
+
+@query("select cast(0 as double) as x0, cast(0 as double) as y0, cast(15600 as double) as x1, cast(10400 as double) as y1")
+def raster_merge(spark, d):
+    return _bounds(apply("raster_merge", table(spark, d, "region"), raster_paths=[_raster(spark), _raster(spark, 0, 5200.0)], output_path=_folder(spark) + ".tif", method="max"))
+
+
+@query()
+def raster_reproject(spark, d):
+    return apply("raster_reproject", table(spark, d, "region"), raster_path=_raster(spark), output_path=_folder(spark) + ".tif", resampling="bilinear").select("target_crs")
+
+
+@query(f"select cast(sum(cast(abs(v5 - v) > 2 as int)) as bigint) as pixels from {_PIXELS}")
+def change_detection(spark, d):
+    out = apply("change_detection", table(spark, d, "region"), raster_before=_raster(spark), raster_after=_raster(spark, 5), threshold=2.0)
+    return out.agg(F.sum("n_pixels").alias("pixels"))
+
+
+@query("select cast(i % 5 as integer) as classification, count(*) as n, cast(max(i) as double) / 10 as z from range(0, 1000) t(i) where i % 5 in (1, 2) group by 1")
+def pointcloud_load_las(spark, d):
+    import struct
+
+    path = _folder(spark) + ".las"
+    head = bytearray(227)
+    head[0:4], head[24:26], head[104] = b"LASF", b"\x01\x02", 0
+    struct.pack_into("<H", head, 94, 227)
+    struct.pack_into("<II", head, 96, 227, 0)
+    struct.pack_into("<HI", head, 105, 20, 1000)
+    struct.pack_into("<6d", head, 131, 0.1, 0.1, 0.1, 0, 0, 0)
+    body = b"".join(struct.pack("<3iHBBbBH", i, 2 * i, i, i % 9, 9, i % 5, 0, 0, 0) for i in range(1000))
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(bytes(head) + body))
+    out.close()
+    las = apply("pointcloud_load_las", table(spark, d, "region"), path=path, classifications=[1, 2])
+    return las.groupBy("classification").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("z"), 6).alias("z"))
+
+
+@query("select 'i' || n_nationkey as id, 'c' || n_regionkey as collection from nation where n_regionkey in (1, 2) and n_nationkey < 20")
+def stac_search(spark, d):
+    path = _folder(spark)
+    items = table(spark, d, "nation").select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.concat(F.lit("i"), "n_nationkey").alias("id"), F.concat(F.lit("c"), "n_regionkey").alias("collection"), F.struct(F.format_string("2026-01-%02dT00:00:00Z", F.col("n_nationkey") + 1).alias("datetime")).alias("properties"), F.struct(F.lit("Point").alias("type"), F.array(F.col("n_nationkey").cast("double"), F.lit(1.0)).alias("coordinates")).alias("geometry"))).alias("value"))
+    items.write.text(path)
+    return apply("stac_search", table(spark, d, "region"), catalog_url=path, collections=["c1", "c2"], bbox=[-1, 0, 50, 2], datetime_range="2026-01-01T00:00:00Z/2026-01-20T12:00:00Z").select("id", "collection")
