@@ -154,6 +154,9 @@ def _box(g: G.Shape):
 
 @udf(BOX)
 def bbox(geometry: pd.Series) -> pd.DataFrame:
+    p = _xy(geometry) if len(geometry) else None
+    if p is not None:
+        return pd.DataFrame({"xmin": p[:, 0], "ymin": p[:, 1], "xmax": p[:, 0], "ymax": p[:, 1]})
     rows = [(math.nan,) * 4 if w is None else (G.from_wkb(w).bounds() or (math.nan,) * 4) for w in geometry]
     return pd.DataFrame(rows, columns=["xmin", "ymin", "xmax", "ymax"])
 
@@ -179,7 +182,6 @@ st_y = shapes(lambda g: float(G.centroid(g).coords[0, 1]) if not g.empty else No
 st_centroid = shapes(G.centroid, "binary")
 st_union = many_shapes(G.union)
 st_collect = many_shapes(lambda s: G.collect(s))
-st_distance = pair_shapes(G.distance, "double")
 st_intersection = pair_shapes(G.intersection, "binary")
 st_difference = pair_shapes(G.difference, "binary")
 st_empty = shapes(lambda g: g.empty, "boolean")
@@ -188,8 +190,92 @@ st_kind = shapes(lambda g: g.kind, "string")
 st_valid = shapes(G.valid, "boolean")
 
 
+def _xy(column: pd.Series) -> np.ndarray | None:
+    """Coordinates if the whole column is plain points."""
+    if any(w is None or len(w) != 21 or w[:5] != b"\x01\x01\x00\x00\x00" for w in column):
+        return None
+    raw = np.frombuffer(b"".join(column), dtype=[("head", "V5"), ("x", "<f8"), ("y", "<f8")])
+    return np.stack([raw["x"], raw["y"]], 1)
+
+
+def _by_shape(p: np.ndarray, shapes_: pd.Series, f: Callable) -> np.ndarray:
+    """f(points, shape) for the points that stand beside each distinct shape."""
+    code, distinct = pd.factorize(shapes_)
+    order = np.argsort(code, kind="stable")
+    cuts = np.flatnonzero(np.diff(code[order])) + 1
+    out = None
+    for rows in np.split(order, cuts):
+        got = f(p[rows], G.from_wkb(distinct[code[rows[0]]]))
+        if out is None:
+            out = np.empty(len(p), got.dtype)
+        out[rows] = got
+    return out
+
+
+def _away(p: np.ndarray, g: G.Shape) -> np.ndarray:
+    """Distances of points from a shape."""
+    d = np.full(len(p), np.inf)
+    s, q = G.segments(g), G._points(g)
+    for lo in range(0, len(p), 4096):
+        if len(s):
+            d[lo : lo + 4096] = G.point_segment(p[lo : lo + 4096], s)[0].min(1)
+        if len(q):
+            d[lo : lo + 4096] = np.minimum(d[lo : lo + 4096], np.hypot(*(p[lo : lo + 4096, None, :] - q[None]).transpose(2, 0, 1)).min(1))
+    return np.where(G.in_area(p, g), 0.0, d) if g.dim == 2 else d
+
+
+def _distances(a: pd.Series, b: pd.Series) -> np.ndarray | None:
+    p, q = _xy(a), _xy(b)
+    if p is not None and q is not None:
+        return np.hypot(*(p - q).T)
+    if (p is None and q is None) or a.isna().any() or b.isna().any():
+        return None
+    return _by_shape(p, b, _away) if p is not None else _by_shape(q, a, _away)
+
+
+# place of the point (1 inside, 0 on the edge, -1 outside) that fulfils a predicate: point first, and shape first
+_POINT_FIRST = {"intersects": (0, 1), "covered_by": (0, 1), "within": (1,), "touches": (0,), "disjoint": (-1,)}
+_SHAPE_FIRST = {"intersects": (0, 1), "covers": (0, 1), "contains": (1,), "touches": (0,), "disjoint": (-1,)}
+
+
+def st_distance(a, b) -> Column:
+    slow = lambda x, y: G.distance(G.from_wkb(x), G.from_wkb(y))
+
+    @udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        d = _distances(a, b) if len(a) else None
+        return pd.Series(d) if d is not None else pd.Series([None if x is None or y is None else slow(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return run(a, b)
+
+
 def st_relate(name: str, by: float = 0.0) -> Callable:
-    return pair_shapes(lambda a, b: G.relate(name, a, b, by), "boolean")
+    """A column function of two geometries. Columns of points are tested array-wise."""
+
+    @udf("boolean")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        if len(a):
+            if name == "dwithin" and (d := _distances(a, b)) is not None:
+                return pd.Series(d <= by)
+            p, q = _xy(a), _xy(b)
+            if p is not None and q is not None and name in ("intersects", "within", "contains", "equals", "covers", "covered_by"):
+                return pd.Series(np.hypot(*(p - q).T) <= 1e-9)
+            if p is not None and q is None and name in _POINT_FIRST and not b.isna().any():
+                return pd.Series(np.isin(_by_shape(p, b, G.place), _POINT_FIRST[name]))
+            if q is not None and p is None and name in _SHAPE_FIRST and not a.isna().any():
+                return pd.Series(np.isin(_by_shape(q, a, G.place), _SHAPE_FIRST[name]))
+        seen: dict[bytes, G.Shape] = {}
+
+        def shape(x: bytes) -> G.Shape:
+            if x not in seen:
+                if len(seen) > 1000:
+                    seen.clear()
+                seen[x] = G.from_wkb(x)
+            return seen[x]
+
+        return pd.Series([None if x is None or y is None else G.relate(name, shape(x), shape(y), by) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return run
 
 
 def cells(df: DataFrame, size: float, by: float = 0.0) -> DataFrame:
@@ -242,7 +328,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, most: float | None =
 
     order = Window.partitionBy(f"l_{ROW}").orderBy("distance", f"r_{ROW}")
     while True:
-        near = pairs(todo, right, "dwithin", reach).withColumn("distance", st_distance(f"l_{GEOM}", f"r_{GEOM}"))
+        near = pairs(todo, right, "dwithin", reach, reach).withColumn("distance", st_distance(f"l_{GEOM}", f"r_{GEOM}"))
         near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if reach >= whole or (most is not None and reach >= most):
             return near if found is None else found.unionByName(near)
