@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_stats, salt_mask, salt_of, save
+from .common import components, join_stats, salt_mask, salt_of, save, tidy
 from .windows import BASES, Sums, _long, _mix, _portions, _rows, _texts, _unpacked, packed
 
 U = np.uint64
@@ -193,7 +193,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 bands = pa.ListArray.from_arrays(ends, _long(keys.ravel()))
                 yield pa.RecordBatch.from_pydict({"row": part["row"], "id": part["id"], "h1": _long(_mix(low.of(lo, hi))), "h2": _long(_mix(high.of(lo, hi))), "words": (hi - lo).astype(np.int64), "bands": bands})
 
-    signed = save(_rows(docs, id_col, text_col).mapInArrow(sign, "row long, id long, h1 long, h2 long, words long, bands array<long>"), "join")
+    signed = save(_rows(docs, id_col, text_col).mapInArrow(tidy(sign), "row long, id long, h1 long, h2 long, words long, bands array<long>"), "join")
     members = signed.select("row", "id", "h1", "h2", "words", salt_of(F.col("row")).alias("salt"))
     same = ["h1", "h2", "words"]
     classes = signed.where("words > 0").withColumn("salt", salt_of(F.col("row"))).groupBy(*same).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), salt_mask("salt"), F.min_by("bands", "row").alias("bands"))

@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import _unpacked, packed
+from .common import tidy
+from .windows import _portions, _unpacked, packed
 
 #: Places for byte 3-grams, and after them for 1- to 3-grams of word classes.
 BYTE_SLOTS, CLASS_SLOTS = 1 << 16, 1 << 15
@@ -161,16 +162,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         sums = np.zeros((2, SLOTS), np.int64)
         n = np.zeros(2, np.int64)
         for batch in batches:
-            y = batch["y"].to_numpy(zero_copy_only=False)
-            for lo, hi, data, at in _chunks(_unpacked(batch)):
-                row, slot = indicators(data, at)
-                for c in (0, 1):
-                    sums[c] += np.bincount(slot[y[lo:hi][row] == c], minlength=SLOTS)
-            n += np.bincount(y, minlength=2)
+            for part in _portions(batch, "body", 512 << 10):
+                y = part["y"].to_numpy(zero_copy_only=False)
+                for lo, hi, data, at in _chunks(_unpacked(part)):
+                    row, slot = indicators(data, at)
+                    for c in (0, 1):
+                        sums[c] += np.bincount(slot[y[lo:hi][row] == c], minlength=SLOTS)
+                n += np.bincount(y, minlength=2)
         at = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_pydict({"slot": np.append(at, -1).astype(np.int32), "n0": np.append(sums[0][at], n[0]), "n1": np.append(sums[1][at], n[1])})
 
-    counts = every.mapInArrow(count, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most SLOTS + 1 rows
+    counts = every.mapInArrow(tidy(count), "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most SLOTS + 1 rows
     slot, n0, n1 = (counts[c].to_numpy() for c in ("slot", "n0", "n1"))
     both = [int(x[slot == -1].sum()) for x in (n0, n1)]
     if not all(both):
@@ -194,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"id": batch["id"].slice(lo, hi - lo), "y": batch["y"].slice(lo, hi - lo), "slots": pa.ListArray.from_arrays(ends, slot.astype(np.int32))})
 
-    sample = rows.mapInArrow(grams, "id long, y int, slots array<int>").toArrow().sort_by("id")
+    sample = rows.mapInArrow(tidy(grams), "id long, y int, slots array<int>").toArrow().sort_by("id")
     slots = [s.values.to_numpy() for s in sample["slots"].combine_chunks()] if sample.num_rows else []
     good = sample["y"].to_numpy() == 1
     sign = np.where(good, 1.0, -1.0)
@@ -228,7 +230,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(out, DoubleType()))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields]).add(out, DoubleType()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **options) -> DataFrame:

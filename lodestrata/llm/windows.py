@@ -20,13 +20,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, explode_salts, forget, salt_mask, salt_of, save
+from .common import SALTS, explode_salts, forget, salt_mask, salt_of, save, tidy
 
 U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
 PLACE_BITS = U(24)
 #: Tokens looked at together; a longer document is cut into overlapping pieces.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: From so many unsettled regions of one anchor on, they are settled window by window over all tasks.
 HOT = 4000
 
@@ -43,7 +43,7 @@ def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of a base and of its inverse modulo 2^64."""
     got = _powers.get(which)
     if got is None or len(got[0]) < n:
-        size = (n + (1 << 18)) >> 18 << 18
+        size = (n + (1 << 16)) >> 16 << 16
         base = int(BASES[which])
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
@@ -178,7 +178,7 @@ def _texts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, at - at[0]
 
 
-def _portions(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def _portions(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of the column."""
     size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
     ends = np.flatnonzero(np.diff(np.cumsum(size) // most, append=-1)) + 1
@@ -212,7 +212,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 body = [press.compress(x.as_py() or b"") for x in part["text"].cast(pa.binary())]
                 yield pa.RecordBatch.from_pydict({"id": part["id"], "row": part["row"], "body": pa.array(body, pa.binary())})
 
-    return rows.mapInArrow(run, "id long, row long, body binary")
+    return rows.mapInArrow(tidy(run), "id long, row long, body binary")
 
 
 _SEED = U(0x2545F4914F6CDD1D)
@@ -238,7 +238,7 @@ def find_repeats(docs: DataFrame, tokens: Callable, slices: Callable, settle: Ca
                 row = part["row"].to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_pydict({"row": row[r.owner], "first": r.first.astype(np.int32), "count": r.count.astype(np.int32), "anchor": _long(r.anchor), "whole": _long(r.whole)})
 
-    cuts = save(rows.select("row", "text").mapInArrow(cut, "row long, first int, count int, anchor long, whole long"), "regions")
+    cuts = save(rows.select("row", "text").mapInArrow(tidy(cut), "row long, first int, count int, anchor long, whole long"), "regions")
     salted = cuts.withColumn("salt", salt_of(F.col("row")))
     # anchors that occur again; `same`: all their regions are equal
     anchors = salted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") == F.max("whole")).alias("same"), salt_mask("salt")).where("n > 1").drop("n")
@@ -260,7 +260,7 @@ def find_repeats(docs: DataFrame, tokens: Callable, slices: Callable, settle: Ca
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _portions(batch, "body", 512 << 10):
+            for part in _portions(batch, "body", 256 << 10):
                 want = part["want"]
                 data, at = _texts(_unpacked(part))
                 values, bounds = tokens(data, at)
@@ -287,7 +287,7 @@ def find_repeats(docs: DataFrame, tokens: Callable, slices: Callable, settle: Ca
                     e = slice(s, s + 20_000)
                     yield pa.RecordBatch.from_pydict({"anchor": w.field("anchor")[e], "known": w.field("known")[e], "row": row[e], "first": first[e].astype(np.int32), "count": count[e].astype(np.int32), "content": pa.array(content[e], pa.binary()), "prints": pa.array(prints[e], pa.list_(pa.int64()))})
 
-    asked = save(asked.mapInArrow(fetch, "anchor long, known boolean, row long, first int, count int, content binary, prints array<long>"), "regions")
+    asked = save(asked.mapInArrow(tidy(fetch), "anchor long, known boolean, row long, first int, count int, content binary, prints array<long>"), "regions")
 
     def judge(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("anchor", "ascending"), ("row", "ascending"), ("first", "ascending")])
@@ -326,7 +326,7 @@ def kept_parts(docs: DataFrame, spans: DataFrame, work: Callable, schema: str, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _portions(batch, "body", 512 << 10):
+            for part in _portions(batch, "body", 256 << 10):
                 data, at = _texts(_unpacked(part))
                 n = pc.fill_null(pc.list_value_length(part["spans"]), 0).to_numpy(zero_copy_only=False)
                 w = part["spans"].flatten()
@@ -335,7 +335,7 @@ def kept_parts(docs: DataFrame, spans: DataFrame, work: Callable, schema: str, i
                 out = work(data, at, owner, first, count)
                 yield pa.RecordBatch.from_pydict({"doc_id": part["id"], **out})
 
-    return rows.mapInArrow(run, f"doc_id long, {schema}")
+    return rows.mapInArrow(tidy(run), f"doc_id long, {schema}")
 
 
 def covered(total: int, lo: np.ndarray, hi: np.ndarray, most: np.ndarray) -> np.ndarray:
