@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +30,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import new_path, shuffle_partitions
+from .common import new_path, shuffle_partitions, tidy
 
 MAGIC = b"LSTB"
 BLOCK_IDS = 1 << 21
 #: Strings kept by a Python worker with their ids; beyond it the store is emptied.
 MEMO = 1_000_000
 
+#: Marks that a byte-level tokenizer cuts off the letters before them.
+MARKS = ".,;:?!"
+
 BLOCKS = "part int, block int, n_docs int, n_ids long, part_offset long, data binary"
 
 
 class Tokens:
     """Ids of whole texts by a tokenizer of the `tokenizers` library.
 
-    A byte-level tokenizer without normaliser never joins characters across a space that stands before a character that is no
-    white space, so such a text is encoded piece by piece, each distinct piece (with its space) once. Other tokenizers, and
-    texts where a space is followed by white space or nothing, are encoded whole.
+    A byte-level tokenizer without normaliser cuts a text before a space that a character other than white space follows, and
+    round a line end that has such characters on both sides. So a text is encoded piece by piece, each distinct piece (with its
+    space) once, and a piece of letters and one mark as the letters and the mark, which it cuts apart too. Other tokenizers,
+    and texts where white space meets white space or an end of the text, are encoded whole.
     """
 
     _of: dict[str, Tokens] = {}
@@ -60,6 +65,9 @@ class Tokens:
         self.pieces = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.tok = Tokenizer.from_file(path)
         self.vocab = self.tok.get_vocab_size()
+        ends = self.whole(["\n", "a\n b\nc"])
+        self.line_end = ends[0][0] if ends[0] else -1
+        self.pieces = self.pieces and len(ends[0]) == 1 and ends[1].count(self.line_end) == 2
         self.clear()
 
     @classmethod
@@ -69,63 +77,107 @@ class Tokens:
         return cls._of[path]
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.start, self.length, self.odd = np.zeros(1 << 20, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        """An empty store; number 0 has no ids."""
+        self.spaced: dict[str, int] = {}
+        self.plain: dict[str, int] = {}
+        self.flat, self.start, self.length = np.zeros(1 << 20, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.filled = 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def numbers(self, strings: list[str]) -> np.ndarray:
-        """Places in the store of ids, new strings encoded first."""
-        if len(self.index) > MEMO:
-            self.clear()
-        index = self.index
-        new = [s for s in strings if s not in index]
+    def _store(self, index: dict[str, int], strings: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        while self.filled + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        first = len(self.start)
+        self.start = np.concatenate([self.start, self.filled + np.cumsum(n) - n])
+        self.length = np.concatenate([self.length, n])
+        self.filled += len(ids)
+        index.update(zip(strings, range(first, first + len(strings)), strict=True))
+
+    def _encode_new(self, index: dict[str, int], strings: list[str], space: str) -> None:
+        """Many pieces in one text, a line end between each two, which no piece holds and which the tokenizer keeps to itself."""
+        for lo in range(0, len(strings), 4096):
+            part = strings[lo : lo + 4096]
+            ids = np.array(self.tok.encode_batch_fast([space + ("\n" + space).join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            if len(ends) != len(part):  # pragma: no cover  another vocabulary
+                got = self.whole([space + x for x in part])
+                self._store(index, part, np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+                continue
+            self._store(index, part, ids[ids != self.line_end], np.diff(ends, prepend=-1) - 1)
+
+    def numbers(self, strings: list[str], odd: np.ndarray, index: dict[str, int], space: str) -> np.ndarray:
+        """Places in the store, new strings encoded first; 0 for odd ones."""
+        new = [x for x, o in zip(strings, odd.tolist(), strict=True) if not o and x not in index]
         if new:
-            got = self.whole(new)
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            total = int(n.sum())
-            while self.filled + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.filled : self.filled + total] = np.fromiter((i for g in got for i in g), np.uint32, total)
-            self.start = np.concatenate([self.start, self.filled + np.cumsum(n) - n])
-            self.length = np.concatenate([self.length, n])
-            self.odd = np.concatenate([self.odd, np.fromiter((s == " " or s[:1] == " " and s[1].isspace() for s in new), bool, len(new))])
-            self.filled += total
-            first = len(index)
-            index.update(zip(new, range(first, first + len(new)), strict=True))
-        return np.fromiter(map(index.__getitem__, strings), np.int64, len(strings))
+            marked = [x for x in new if x[-1] in MARKS and x[:-1].isalpha()]
+            if marked:
+                apart = set(marked)
+                plain = [x for x in new if x not in apart]
+                bases = list(dict.fromkeys([x[:-1] for x in marked]))
+                known = set(plain)
+                plain += [x for x in bases if x not in index and x not in known]
+            else:
+                plain = new
+            self._encode_new(index, plain, space)
+            if marked:
+                marks = [m for m in MARKS if m not in self.plain]
+                if marks:
+                    self._encode_new(self.plain, marks, "")
+                both = np.empty((len(marked), 2), np.int64)
+                both[:, 0] = np.fromiter([index[x[:-1]] for x in marked], np.int64, len(marked))
+                both[:, 1] = np.fromiter([self.plain[x[-1]] for x in marked], np.int64, len(marked))
+                rest = [k for k, x in enumerate(marked) if x not in index]  # all, but for a mark met on its own
+                self._store(index, [marked[k] for k in rest], self._gather(both[rest].ravel()), self.length[both[rest]].sum(1))
+        return np.fromiter([index.get(x, 0) for x in strings], np.int64, len(strings))
+
+    def _gather(self, which: np.ndarray) -> np.ndarray:
+        n = self.length[which]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.start[which] - ends + n, n) + np.arange(int(n.sum()))]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number for each text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.pieces:
             got = self.whole(texts.to_pylist())
-            return np.concatenate([np.zeros(0, np.uint32), *(np.array(g, np.uint32) for g in got)]), np.array([len(g) for g in got], np.int64)
-        split = pc.split_pattern(texts, " ")
-        at = split.offsets.to_numpy()
-        flat = split.flatten()
-        coded = flat.dictionary_encode()
+            return np.fromiter(chain.from_iterable(got), np.uint32), np.array([len(g) for g in got], np.int64)
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self.start) > MEMO:
+            self.clear()
+        lines = pc.split_pattern(texts, "\n")
+        line_at = lines.offsets.to_numpy() - lines.offsets[0].as_py()
+        split = pc.split_pattern(lines.flatten(), " ")
+        piece_at = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        firsts = at[:-1] - at[0]
-        distinct = coded.dictionary.to_pylist()
-        heads = sorted({distinct[c] for c in codes[firsts]})
-        spaced = [" " + s for s in distinct]
-        strings = self.numbers(spaced + heads)
-        if len(strings) and strings.max() >= len(self.length):  # pragma: no cover
-            raise AssertionError
-        which = strings[codes]
-        head_of = dict(zip(heads, strings[len(spaced) :], strict=True))
-        which[firsts] = [head_of[distinct[c]] for c in codes[firsts]]
-        odd = self.odd[which]
-        odd[firsts] = False
-        per_text = self.length[which]
-        n = np.add.reduceat(per_text, firsts) if len(firsts) else np.zeros(0, np.int64)
-        total = int(per_text.sum())
-        ends = np.cumsum(per_text)
-        ids = self.flat[np.repeat(self.start[which] - ends + per_text, per_text) + np.arange(total)]
-        again = np.flatnonzero(np.add.reduceat(odd, firsts)) if len(firsts) else []
+        words = coded.dictionary
+        size = pc.binary_length(words)
+        # white space at an end, or nothing
+        odd = pc.or_(pc.equal(size, 0), pc.not_equal(size, pc.binary_length(pc.utf8_trim_whitespace(words)))).to_numpy(zero_copy_only=False)
+        distinct = words.to_pylist()
+        firsts = piece_at[:-1]
+        head_codes, back = np.unique(codes[firsts], return_inverse=True)
+        which = self.numbers(distinct, odd, self.spaced, " ")[codes]
+        which[firsts] = self.numbers([distinct[c] for c in head_codes], odd[head_codes], self.plain, "")[back]
+        odd = odd[codes]
+        # a line end before every line but a text's first
+        inner = np.ones(len(firsts), bool)
+        inner[line_at[:-1]] = False
+        if "\n" not in self.plain:
+            self._store(self.plain, ["\n"], np.array([self.line_end], np.uint32), np.ones(1, np.int64))
+        which = np.insert(which, firsts[inner], self.plain["\n"])
+        moved = firsts + np.cumsum(inner) - inner
+        text_at = moved[line_at[:-1]]
+        odd = np.insert(odd, firsts[inner], False)
+        bad = np.add.reduceat(odd, text_at) > 0
+        bad &= pc.binary_length(texts).to_numpy() > 0  # an empty text is its one, empty piece
+        n = np.add.reduceat(self.length[which], text_at)
+        ids = self._gather(which)
+        again = np.flatnonzero(bad)
         if len(again):
             bounds = np.concatenate([[0], np.cumsum(n)])
             parts, done = [], 0
@@ -217,7 +269,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)))
     names = [f"_key{i}" for i in range(len(keys))]
     rows = rows.repartitionByRange(shuffle_partitions(spark), *names).sortWithinPartitions(*names).select("doc_id", "text")
-    rows.mapInArrow(_packer(tokenizer, end_id, block_ids), BLOCKS).write.option("compression", "uncompressed").parquet(path)
+    rows.mapInArrow(tidy(_packer(tokenizer, end_id, block_ids)), BLOCKS).write.option("compression", "uncompressed").parquet(path)
     return path
 
 
@@ -236,6 +288,7 @@ def _read(spark: SparkSession, path: str, schema: str, view: Callable) -> DataFr
     kind = pa.int64() if last[1] == "long" else pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Tokens._of.clear()  # the worker may have encoded before; its store isn't needed any more
         for batch in batches:
             for part, offset, data in zip(batch["part"].to_pylist(), batch["part_offset"].to_pylist(), batch["data"], strict=True):
                 names, lengths, ids = unpack(data.as_py())
@@ -254,6 +307,6 @@ def _read(spark: SparkSession, path: str, schema: str, view: Callable) -> DataFr
         base.append((part, total))
         total += n
     before = spark.createDataFrame(base, "part int, base long")
-    rows = blocks.select("part", "part_offset", "data").mapInArrow(run, f"part int, {schema}")
+    rows = blocks.select("part", "part_offset", "data").mapInArrow(tidy(run), f"part int, {schema}")
     rows = rows.join(F.broadcast(before), "part") if len(base) <= 1_000_000 else rows.join(before, "part")
     return rows.select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", last[0])
