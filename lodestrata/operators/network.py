@@ -57,14 +57,22 @@ def snap_to_nodes(points: DataFrame, edges: DataFrame) -> DataFrame:
     return nearest(points.select(ROW, GEOM), nodes_of(edges).select(ROW, "node", GEOM)).select(F.col(f"l_{ROW}").alias("r"), F.col("r_node").alias("node"))
 
 
-def relax(arcs: DataFrame, sources: DataFrame, most: float | None = None) -> DataFrame:
-    """Least cost to each node from each label: label, node, cost, via (edge), back (node before). sources: label, node."""
+def relax(arcs: DataFrame, sources: DataFrame, most: float | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """Least cost to each node from each label: label, node, cost, via (edge), back (node before). sources: label, node.
+
+    targets (node): only their costs, and those of the nodes on the ways there, are wanted. When a label has met all of them, no way
+    that is as dear as the dearest is followed further.
+    """
+    n = targets.count() if targets is not None else 0
     best = cut(sources.select("label", "node", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("via"), F.lit(None).cast("string").alias("back")).distinct())
     front = best
     for _ in range(MOST_ROUNDS):
         step = front.join(arcs, front["node"] == arcs["a"]).select("label", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("edge").alias("via"), F.col("a").alias("back"))
         if most is not None:
             step = step.where(F.col("cost") <= most)
+        if targets is not None:
+            met = best.join(targets, "node", "left_semi").groupBy(F.col("label").alias("_l")).agg(F.max("cost").alias("_m"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") == n)
+            step = step.join(met, F.col("label") == F.col("_l"), "left").where("_m is null or cost < _m")
         step = step.groupBy("label", "node").agg(F.min(F.struct("cost", "back", "via")).alias("s")).select("label", "node", "s.cost", "s.via", "s.back")
         old = best.select(F.col("label").alias("_l"), F.col("node").alias("_n"), F.col("cost").alias("_c"))
         better = cut(step.join(old, (F.col("label") == F.col("_l")) & (F.col("node") == F.col("_n")), "left").where("_c is null or cost < _c").drop("_l", "_n", "_c"))
@@ -87,7 +95,7 @@ def shortest_path(df: DataFrame, start_x: float = 0.0, start_y: float = 0.0, end
     a = snap_to_nodes(_start(df, start_x, start_y, srid_of(df)), e).first()["node"]
     b = snap_to_nodes(_start(df, end_x, end_y, srid_of(df)), e).first()["node"]
     spark = df.sparkSession
-    best = cut(relax(_arcs(e), spark.createDataFrame([(0, a)], "label long, node string")))
+    best = cut(relax(_arcs(e), spark.createDataFrame([(0, a)], "label long, node string"), targets=spark.createDataFrame([(b,)], "node string")))
     # back from the end, an edge a round
     path, at = [], b
     while at != a:
@@ -173,8 +181,8 @@ def od_matrix(df: DataFrame, ref_gdf=None, destinations_gdf=None, weight_col=Non
     o = identified(aligned(ref_gdf, df))
     d = identified(aligned(ref_gdf if own else destinations_gdf, df))
     src = cut(snap_to_nodes(o, e).select(F.col("r").alias("label"), "node"))
-    dst = snap_to_nodes(d, e).select(F.col("r").alias("dest"), "node")
-    cost = relax(_arcs(e), src, max_distance).select("label", "node", "cost")
+    dst = cut(snap_to_nodes(d, e).select(F.col("r").alias("dest"), "node"))
+    cost = relax(_arcs(e), src, max_distance, dst.select("node").distinct()).select("label", "node", "cost")
     got = cost.join(dst, "node").select("label", "dest", "cost")
     if own and not include_missing:
         got = got.where("label <> dest")

@@ -37,9 +37,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _points(df: DataFrame, key: str) -> DataFrame:
+def _points(df: DataFrame, key: str, tiles: bool = False) -> DataFrame:
     k = F.col(key).cast("long")
-    df = df.withColumn(ROW, k).withColumns({"x": (k * 7919 % 10007).cast("double"), "y": (k * 104729 % 10007).cast("double")})
+    above = F.floor(k / 10007) * 10007 if tiles else F.lit(0)
+    df = df.withColumn(ROW, k).withColumns({"x": (k * 7919 % 10007).cast("double"), "y": (k * 104729 % 10007 + above).cast("double")})
     return with_srid(df.withColumn(GEOM, make_point("x", "y")), 3857)
 
 
@@ -55,6 +56,11 @@ def parts(spark, d):
     return _points(table(spark, d, "part"), "p_partkey")
 
 
+def junctions(spark, d):
+    """Parts as nodes of the network: the lattice holds 10007 places, so each further 10007 parts lie on a lattice above."""
+    return _points(table(spark, d, "part"), "p_partkey", tiles=True)
+
+
 def nations(spark, d):
     n = table(spark, d, "nation")
     k = F.col("n_nationkey")
@@ -64,7 +70,7 @@ def nations(spark, d):
 
 def network(spark, d):
     """Lines from each part to the next and the seventh next, weights 1 to 97."""
-    p = parts(spark, d).where("p_partkey <= 400").select("p_partkey", "x", "y")
+    p = junctions(spark, d).select("p_partkey", "x", "y")
     e = p.withColumn("step", F.explode(F.array(F.lit(1), F.lit(7)))).withColumn("other", F.col("p_partkey") + F.col("step"))
     q = p.select(F.col("p_partkey").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     e = e.join(q, "other").withColumn("w", (1 + F.col("p_partkey") * 31 % 97).cast("double"))
@@ -678,10 +684,10 @@ def network_costs(spark, d):
     from .operators.network import _arcs, edges_of, relax
 
     e = edges_of(network(spark, d), "w")
-    p = parts(spark, d).select(F.col("p_partkey").alias("node"), F.format_string("%.6f,%.6f", "x", "y").alias("key"))
+    p = junctions(spark, d).select(F.col("p_partkey").alias("node"), F.format_string("%.6f,%.6f", "x", "y").alias("key"))
     start = p.where("node = 1").select(F.lit(0).cast("long").alias("label"), F.col("key").alias("node"))
     best = relax(_arcs(e), start, 150.0).select(F.col("node").alias("key"), "cost")
-    return best.join(p.where("node <= 400"), "key").select("node", "cost")
+    return best.join(p, "key").select("node", "cost")
 
 
 @query()
@@ -696,8 +702,8 @@ def isochrone(spark, d):
 
 @query()
 def network_allocation(spark, d):
-    hubs = parts(spark, d).where("p_partkey in (1, 100, 200)").select(ROW, F.col("p_partkey").alias("id"), GEOM)
-    return apply("network_allocation", parts(spark, d).where("p_partkey <= 60").select(ROW, "p_partkey", GEOM), network_gdf=network(spark, d), hubs_gdf=hubs, weight_col="w", max_cost=200).select("p_partkey", "allocated_hub_id", "allocation_cost", "allocated")
+    hubs = junctions(spark, d).where("p_partkey in (1, 100, 200)").select(ROW, F.col("p_partkey").alias("id"), GEOM)
+    return apply("network_allocation", junctions(spark, d).select(ROW, "p_partkey", GEOM), network_gdf=network(spark, d), hubs_gdf=hubs, weight_col="w", max_cost=200).select("p_partkey", "allocated_hub_id", "allocation_cost", "allocated")
 
 
 @query(f"select true as is_connected, cast(1 as bigint) as n_components, (select count(*) from part where p_partkey <= 400) as n_nodes, (select count(*) from {_E}) as n_edges")
@@ -707,13 +713,13 @@ def connectivity_check(spark, d):
 
 @query()
 def od_matrix(spark, d):
-    o = parts(spark, d).where("p_partkey in (1, 5, 9)").select(ROW, F.col("p_partkey").alias("id"), GEOM)
+    o = junctions(spark, d).where("p_partkey in (1, 5, 9)").select(ROW, F.col("p_partkey").alias("id"), GEOM)
     return apply("od_matrix", network(spark, d), ref_gdf=o, weight_col="w")
 
 
 @query(f"select count(*) as n, (select count(*) - 1 from part where p_partkey <= 400) as want from (select 1 from {_E} limit (select count(*) - 1 from part where p_partkey <= 400))")
 def mst(spark, d):
-    n = parts(spark, d).where("p_partkey <= 400").agg((F.count(F.lit(1)) - 1).alias("want"))
+    n = junctions(spark, d).agg((F.count(F.lit(1)) - 1).alias("want"))
     return apply("mst", network(spark, d), weight_col="w").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(n))
 
 
