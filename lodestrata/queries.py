@@ -461,7 +461,7 @@ def _shape_query(name: str, layer: Callable, params: dict, key: str):
 
 def _l_shapes(spark, d):
     """Three-point lines over neighbouring parts."""
-    p = parts(spark, d).where("p_partkey <= 300").select("p_partkey", "x", "y", ROW)
+    p = parts(spark, d).select("p_partkey", "x", "y", ROW)
     bend = shapes(lambda g, x, y: G.line([(x, y), (x + 300, y), (x + 300, y + 400), (x + 310, y + 405)]), "binary")
     return with_srid(p.withColumn(GEOM, bend(make_point("x", "y"), "x", "y")).drop("x", "y"), 3857)
 
