@@ -192,8 +192,14 @@ def unpivot(spark, d):
 def sort_pos(spark, d):
     from pyspark.sql import Window
 
-    o = apply("sort", table(spark, d, "orders").withColumn(ROW, F.col("o_orderkey")), by=["o_orderdate", "o_orderkey"], ascending=[False, True]).limit(500)
-    return o.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_orderkey")).cast("long").alias("pos"))
+    from .operators.graph import cut
+
+    o = apply("sort", table(spark, d, "orders").withColumn(ROW, F.col("o_orderkey")), by=["o_orderdate", "o_orderkey"], ascending=[False, True])
+    # the number has the partition in its upper bits and the place in the sorted partition in its lower 33
+    o = cut(o.select("o_orderkey", F.monotonically_increasing_id().alias("i"))).withColumn("p", F.shiftright("i", 33))
+    n = o.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    n = n.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return o.join(F.broadcast(n), "p").select("o_orderkey", (F.col("before") + F.col("i").bitwiseAND(F.lit(2**33 - 1)) + 1).alias("pos"))  # a row for each partition
 
 
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50")
