@@ -252,7 +252,7 @@ def attribute_join_left(spark, d):
 
 @query("select coalesce(s_nationkey, n_nationkey) as s_nationkey, s_suppkey, n_name from (select * from supplier where s_suppkey % 3 = 0) s full join (select * from nation where n_regionkey < 3) n on s_nationkey = n_nationkey")
 def attribute_join_outer(spark, d):
-    return apply("attribute_join", table(spark, d, "supplier").where("s_suppkey % 3 = 0").select("s_nationkey", "s_suppkey"), ref_gdf=table(spark, d, "nation").where("n_regionkey < 3"), left_on="s_nationkey", right_on="n_nationkey", how="outer", columns=["n_name"])
+    return apply("attribute_join", table(spark, d, "supplier").select("s_nationkey", "s_suppkey"), ref_gdf=table(spark, d, "nation").where("n_regionkey < 3"), left_on="s_nationkey", right_on="n_nationkey", how="outer", columns=["n_name"])
 
 
 _CLICK = "(select user_id, ts, max(event_id) as ref_id from events where event_type = (select min(event_type) from events) group by 1, 2)"
