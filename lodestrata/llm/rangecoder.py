@@ -1,10 +1,13 @@
 """An adaptive context-mixing range coder for blocks of token ids.
 
 A block is cut into lanes that are coded in step, all feeding one model that is empty at the block's start, so numpy does each
-step for all lanes at once. For each id the model has three predictions: the id that last followed the two ids before (order 2),
-the id that last followed the one before (order 1), and the adaptive frequencies of all ids so far (order 0). Which of them
-holds is coded with probabilities learnt for the pair of confidences of the two predictions; an id that neither predicts is
-coded by its order-0 frequency. Encoder and decoder update the model alike after each step.
+step for all lanes at once. For each id the model has three predictions: the adaptive frequencies of all ids so far (order 0),
+the id that last followed the one before (order 1), and the id that last followed the two before (order 2). Their probabilities
+are mixed: an id's share of the range is the sum of the three predictions' shares for it, each times its weight. There is a set
+of weights for each pair of confidences of the orders 1 and 2; it follows the share that each prediction had in the ids that
+came (the responsibilities of a mixture). Encoder and decoder update the model alike after each step.
+
+The words of all lanes stand in the order in which the decoder needs them, so a step reads a stretch of them.
 """
 
 from __future__ import annotations
@@ -12,59 +15,80 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-TOP, BOT = U(48), U(1 << 40)
-KIND_BITS, ID_BITS = 12, 22
+I32 = np.uint32
+WEIGHT_BITS = 10
+#: A lane writes 16 bits when its range is below; then the range is 2^48 or more again.
+LEAST = U(1 << 48)
 SLOTS = 18
 STEPS, MOST_LANES = 256, 8192
 
 
 class Model:
-    def __init__(self, vocab: int):
-        self.vocab = vocab
-        self.one, self.one_sure = np.full(vocab + 1, vocab + 1, np.uint32), np.zeros(vocab + 1, np.uint8)
-        self.two, self.two_sure = np.full(1 << SLOTS, vocab + 1, np.uint32), np.zeros(1 << SLOTS, np.uint8)
-        self.kinds = np.ones((32, 3), np.int64)
+    """Ids from 0 to vocab-1; vocab stands for what is before a lane's first id, vocab+1 for no prediction."""
+
+    def __init__(self, vocab: int, decoding: bool = False):
+        self.vocab, self.decoding = vocab, decoding
+        self.id_bits = max(20, int(vocab).bit_length() + 4)
+        self.bits = U(self.id_bits + WEIGHT_BITS)
+        self.shift = U(self.id_bits)
+        # id and confidence in one number: 0 nothing seen, 1 seen, 2 and 3 right once or more in a row
+        self.one = np.full(vocab + 1, vocab + 1 << 2, I32)
+        self.two = np.full(1 << SLOTS, vocab + 1 << 2, I32)
+        self.shares = np.tile([2.0, 1.0, 1.0], (32, 1))
         self.counts = np.zeros(vocab, np.int64)
         self.seen: list[np.ndarray] = []
         self.step, self.next = 0, 1
         self.rebuild()
-        self.rekind()
+        self.reweigh()
 
     def rebuild(self) -> None:
         if self.seen:
             self.counts += np.bincount(np.concatenate(self.seen), minlength=self.vocab)
             self.seen = []
-        room = (1 << ID_BITS) - self.vocab
-        f = 1 + self.counts * room // max(1, int(self.counts.sum()))
-        f[0] += (1 << ID_BITS) - int(f.sum())
-        self.freq = f.astype(U)
-        self.start = np.concatenate([[0], np.cumsum(f)]).astype(U)
-
-    def rekind(self) -> None:
-        f = 1 + self.kinds * ((1 << KIND_BITS) - 3) // self.kinds.sum(1, keepdims=True)
-        f[:, 2] += (1 << KIND_BITS) - f.sum(1)
-        self.kind_freq = f.astype(U).ravel()
-        self.kind_start = np.stack([f[:, 0] * 0, f[:, 0], f[:, 0] + f[:, 1]], 1).astype(U).ravel()
+        whole = 1 << self.id_bits
+        f = 1 + self.counts * (whole - self.vocab) // max(1, int(self.counts.sum()))
+        f[0] += whole - int(f.sum())
+        ends = np.cumsum(f)
+        self.freq = np.append(f, [0, 0]).astype(U)
+        self.start = np.concatenate([[0], ends, [whole]]).astype(U)
+        if self.decoding:
+            self.holder = np.repeat(np.arange(self.vocab, dtype=np.uint16 if self.vocab <= 1 << 16 else I32), f)
+
+    def reweigh(self) -> None:
+        w = 1 + (self.shares * (((1 << WEIGHT_BITS) - 3) / self.shares.sum(1, keepdims=True))).astype(np.int64)
+        w[:, 0] += (1 << WEIGHT_BITS) - w.sum(1)
+        self.w0, self.w1, self.w2 = (np.ascontiguousarray(c) for c in w.astype(U).T)
 
     def predict(self, last: np.ndarray, before: np.ndarray):
-        h = ((before.astype(U) * U(0x9E3779B97F4A7C15) + last.astype(U)) * U(0xD6E8FEB86659FD93) >> U(64 - SLOTS)).astype(np.int64)
-        p1, p2 = self.one[last], self.two[h]
-        c1, c2 = self.one_sure[last], self.two_sure[h]
-        ctx = (c2 * np.uint8(4) + c1 + np.uint8(16) * (p1 == p2)).astype(np.int64)
-        return h, p1, p2, c1, c2, ctx
-
-    def learn(self, x, last, h, p1, p2, c1, c2, ctx, kind) -> None:
-        self.one[last] = x
-        self.one_sure[last] = np.where(x == p1, np.minimum(c1 + 1, 3), 0)
-        self.two[h] = x
-        self.two_sure[h] = np.where(x == p2, np.minimum(c2 + 1, 3), 0)
-        self.kinds += np.bincount(ctx * 3 + kind, minlength=96).reshape(32, 3)
+        """The place of the two ids before, what is stored for them, and the ids of order 1 and 2 and the weights' row."""
+        h = ((before.view(U) * U(0x9E3779B97F4A7C15) + last.view(U)) * U(0xD6E8FEB86659FD93) >> U(64 - SLOTS)).astype(np.int64)
+        s1, s2 = self.one[last], self.two[h]
+        p1, p2 = s1 >> I32(2), s2 >> I32(2)
+        row = ((s2 & I32(3)) << I32(2)) + (s1 & I32(3)) + ((p1 == p2).astype(I32) << I32(4))
+        return h, s1, s2, p1, p2, row.astype(np.int64)
+
+    def learn(self, x, last, h, s1, s2, p1, p2, row, w0, w1, w2) -> None:
+        e1, e2 = x == p1, x == p2
+        hit = np.flatnonzero(e1 | e2)
+        if len(hit):
+            y, at = x[hit], row[hit]
+            m1 = e1[hit] * (w1[hit] << self.shift).astype(np.float64)
+            m2 = e2[hit] * (w2[hit] << self.shift).astype(np.float64)
+            every = m1 + m2 + (w0[hit] * self.freq[y]).astype(np.float64)
+            n1, n2 = np.bincount(at, m1 / every, 32), np.bincount(at, m2 / every, 32)
+            self.shares[:, 1] += n1
+            self.shares[:, 2] += n2
+            self.shares[:, 0] -= n1 + n2
+        self.shares[:, 0] += np.bincount(row, minlength=32)
+        new = x << I32(2)
+        self.one[last] = new | np.where(e1, np.minimum((s1 & I32(3)) + I32(1), I32(3)), I32(1))
+        self.two[h] = new | np.where(e2, np.minimum((s2 & I32(3)) + I32(1), I32(3)), I32(1))
         self.seen.append(x)
         self.step += 1
         if self.step == self.next:
             self.next = min(self.next * 2, self.next + 16)
             self.rebuild()
-        self.rekind()
+        self.reweigh()
 
 
 def shape(n: int) -> tuple[int, int]:
@@ -78,113 +102,110 @@ def _rows(n: int, lanes: int, steps: int, t: int) -> int:
     return max(0, min(lanes, -(-(n - t) // steps)))
 
 
-def encode(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit words of all lanes, one lane after the other, and each lane's number of words."""
+def encode(ids: np.ndarray, vocab: int) -> np.ndarray:
+    """The block as 16-bit words: the first four of each lane, then the others in the order of decoding."""
     n = len(ids)
     lanes, steps = shape(n)
-    grid = np.zeros(lanes * steps, np.uint32)
+    grid = np.zeros(lanes * steps, I32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Model(vocab)
     low, rng = np.zeros(lanes, U), np.full(lanes, ~U(0), U)
-    words, filled = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
+    words, filled = np.zeros((2 * steps + 8, lanes), np.uint16), np.zeros(lanes, np.int64)
     last, before = np.full(lanes, vocab, np.int64), np.full(lanes, vocab, np.int64)
-
-    def put(at, start, freq, bits):
-        r = rng[at] >> U(bits)
-        lo, w = low[at] + r * start, r * freq
-        low[at], rng[at] = lo, w
-        todo = np.arange(len(lo)) if isinstance(at, slice) else at
-        while True:
-            same = (lo ^ (lo + w)) >> TOP == 0
-            out = same | (w < BOT)
-            if not out.any():
-                return
-            keep = np.flatnonzero(out)
-            todo, lo, w, same = todo[keep], lo[keep], w[keep], same[keep]
-            w = np.where(same, w, (~lo + U(1)) & (BOT - U(1)))
-            words[todo, filled[todo]] = lo >> TOP
-            filled[todo] += 1
-            lo, w = lo << U(16), w << U(16)
-            low[todo], rng[todo] = lo, w
-
+    lane_of, nth_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for t in range(steps):
         a = _rows(n, lanes, steps, t)
         if not a:
             break
         x, la = grid[t, :a], last[:a]
-        h, p1, p2, c1, c2, ctx = model.predict(la, before[:a])
-        kind = np.where(x == p2, 0, np.where(x == p1, 1, 2))
-        k = ctx * 3 + kind
-        put(slice(0, a), model.kind_start[k], model.kind_freq[k], KIND_BITS)
-        new = np.flatnonzero(kind == 2)
-        if len(new):
-            y = x[new]
-            put(new, model.start[y], model.freq[y], ID_BITS)
-        model.learn(x, la, h, p1, p2, c1, c2, ctx, kind)
+        h, s1, s2, p1, p2, row = model.predict(la, before[:a])
+        w0, w1, w2 = model.w0[row], model.w1[row], model.w2[row]
+        start = w0 * model.start[x] + ((w1 * (p1 < x) + w2 * (p2 < x)) << model.shift)
+        freq = w0 * model.freq[x] + ((w1 * (p1 == x) + w2 * (p2 == x)) << model.shift)
+        r = rng[:a] >> model.bits
+        start *= r
+        low[:a] += start
+        over = np.flatnonzero(low[:a] < start)
+        freq *= r
+        rng[:a] = freq
+        at = filled[over] - 1
+        while len(over):  # a carry goes into the words before
+            words[at, over] += np.uint16(1)
+            still = words[at, over] == 0
+            over, at = over[still], at[still] - 1
+        todo = np.flatnonzero(freq < LEAST)
+        while len(todo):
+            lo, nth = low[todo], filled[todo]
+            words[nth, todo] = lo >> U(48)
+            lane_of.append(todo)
+            nth_of.append(nth)
+            filled[todo] = nth + 1
+            low[todo] = lo << U(16)
+            wide = rng[todo] << U(16)
+            rng[todo] = wide
+            todo = todo[wide < LEAST]
+        model.learn(x, la, h, s1, s2, p1, p2, row, w0, w1, w2)
         before[:a] = la
         last[:a] = x
     every = np.arange(lanes)
-    for shift in (48, 32, 16, 0):
-        words[every, filled] = low >> U(shift)
+    for _ in range(4):
+        words[filled, every] = low >> U(48)
+        low <<= U(16)
         filled += 1
-    return words[np.arange(words.shape[1]) < filled[:, None]], filled.astype(np.uint32)
+    return np.concatenate([words[:4].ravel(), words[np.concatenate(nth_of) + 4, np.concatenate(lane_of)]])
 
 
-def decode(words: np.ndarray, filled: np.ndarray, n: int, vocab: int) -> np.ndarray:
+def decode(words: np.ndarray, n: int, vocab: int) -> np.ndarray:
     lanes, steps = shape(n)
-    ends = np.cumsum(filled.astype(np.int64))
-    at = ends - filled
-    padded = np.concatenate([words, np.zeros(8, np.uint16)]).astype(U)
-    model = Model(vocab)
-    low, rng, code = np.zeros(lanes, U), np.full(lanes, ~U(0), U), np.zeros(lanes, U)
-    for _ in range(4):
-        code = code << U(16) | padded[at]
-        at += 1
-    grid = np.zeros((steps, lanes), np.uint32)
+    model = Model(vocab, decoding=True)
+    rng, code = np.full(lanes, ~U(0), U), np.zeros(lanes, U)
+    for k in range(4):
+        code = code << U(16) | words[k * lanes : (k + 1) * lanes]
+    done = 4 * lanes
+    grid = np.zeros((steps, lanes), I32)
     last, before = np.full(lanes, vocab, np.int64), np.full(lanes, vocab, np.int64)
-
-    def value(i, bits):
-        r = rng[i] >> U(bits)
-        return r, np.minimum((code[i] - low[i]) // r, U((1 << bits) - 1))
-
-    def drop(i, r, start, freq):
-        lo, w = low[i] + r * start, r * freq
-        low[i], rng[i] = lo, w
-        todo = np.arange(len(lo)) if isinstance(i, slice) else i
-        while True:
-            same = (lo ^ (lo + w)) >> TOP == 0
-            out = same | (w < BOT)
-            if not out.any():
-                return
-            keep = np.flatnonzero(out)
-            todo, lo, w, same = todo[keep], lo[keep], w[keep], same[keep]
-            w = np.where(same, w, (~lo + U(1)) & (BOT - U(1)))
-            code[todo] = code[todo] << U(16) | padded[at[todo]]
-            at[todo] += 1
-            lo, w = lo << U(16), w << U(16)
-            low[todo], rng[todo] = lo, w
-
     for t in range(steps):
         a = _rows(n, lanes, steps, t)
         if not a:
             break
-        la = last[:a]
-        h, p1, p2, c1, c2, ctx = model.predict(la, before[:a])
-        s = slice(0, a)
-        r, v = value(s, KIND_BITS)
-        base = ctx * 3
-        kind = (v >= model.kind_start[base + 1]).astype(np.int64) + (v >= model.kind_start[base + 2])
-        drop(s, r, model.kind_start[base + kind], model.kind_freq[base + kind])
-        x = np.where(kind == 0, p2, p1)
-        new = np.flatnonzero(kind == 2)
+        la, c = last[:a], code[:a]
+        h, s1, s2, p1, p2, row = model.predict(la, before[:a])
+        w0, w1, w2 = model.w0[row], model.w1[row], model.w2[row]
+        r = rng[:a] >> model.bits
+        v = (c.astype(np.float64) / r.astype(np.float64)).astype(U)  # to within 1
+        v -= v * r > c
+        v += c - v * r >= r
+        m1, m2 = w1 << model.shift, w2 << model.shift
+        # where the predicted ids' shares start, and how wide they are
+        both = p1 == p2
+        start1 = w0 * model.start[p1] + m2 * (p2 < p1)
+        start2 = w0 * model.start[p2] + m1 * (p1 < p2)
+        wide1 = w0 * model.freq[p1] + m1 + m2 * both
+        wide2 = w0 * model.freq[p2] + m2 + m1 * both
+        hit2 = v - start2 < wide2
+        x = np.where(hit2, p2, p1)
+        start, freq = np.where(hit2, start2, start1), np.where(hit2, wide2, wide1)
+        new = np.flatnonzero(~hit2 & (v - start1 >= wide1))
         if len(new):
-            r, v = value(new, ID_BITS)
-            y = np.searchsorted(model.start, v, side="right") - 1
-            drop(new, r, model.start[y], model.freq[y])
+            u, w = v[new], w0[new]
+            past = (u > start1[new]) * m1[new] + (u > start2[new]) * m2[new]
+            y = model.holder[((u - past) // w).astype(np.int64)]
             x[new] = y
+            start[new] = w * model.start[y] + past
+            freq[new] = w * model.freq[y]
+        c -= start * r
+        freq *= r
+        rng[:a] = freq
+        todo = np.flatnonzero(freq < LEAST)
+        while len(todo):
+            code[todo] = code[todo] << U(16) | words[done : done + len(todo)]
+            done += len(todo)
+            wide = rng[todo] << U(16)
+            rng[todo] = wide
+            todo = todo[wide < LEAST]
         grid[t, :a] = x
-        model.learn(x, la, h, p1, p2, c1, c2, ctx, kind)
+        model.learn(x, la, h, s1, s2, p1, p2, row, w0, w1, w2)
         before[:a] = la
         last[:a] = x
     return np.ascontiguousarray(grid.T).ravel()[:n]

@@ -3,11 +3,11 @@
 File format. A file is a Parquet container, written and committed by Spark, with one row for each block; `data` is the block:
 
     4 bytes  magic "LSTB"
-    u32      version (1), documents, vocabulary size, lanes
+    u32      version (2), documents, vocabulary size, 0
     u64      ids in the block
     i64 []   identifiers of the documents, then u8 [] 1 where an identifier is null
     u32 []   ids of each document, the end id included
-    u32 []   words of each lane, then u16 [] the lanes' words (rangecoder.encode)
+    u16 []   the words of rangecoder.encode
     u32      crc32 of all bytes before
 
 All numbers are little-endian. Blocks hold whole documents and the model is reset for each, so any block can be read alone and
@@ -20,7 +20,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +110,9 @@ class Tokens:
 
     def numbers(self, strings: list[str], odd: np.ndarray, index: dict[str, int], space: str) -> np.ndarray:
         """Places in the store, new strings encoded first; 0 for odd ones."""
-        new = [x for x, o in zip(strings, odd.tolist(), strict=True) if not o and x not in index]
+        at = np.fromiter(map(index.get, strings, repeat(-1)), np.int64, len(strings))
+        missing = np.flatnonzero((at < 0) & ~odd)
+        new = [strings[k] for k in missing.tolist()]
         if new:
             marked = [x for x in new if x[-1] in MARKS and x[:-1].isalpha()]
             if marked:
@@ -127,11 +129,12 @@ class Tokens:
                 if marks:
                     self._encode_new(self.plain, marks, "")
                 both = np.empty((len(marked), 2), np.int64)
-                both[:, 0] = np.fromiter([index[x[:-1]] for x in marked], np.int64, len(marked))
-                both[:, 1] = np.fromiter([self.plain[x[-1]] for x in marked], np.int64, len(marked))
+                both[:, 0] = np.fromiter(map(index.__getitem__, [x[:-1] for x in marked]), np.int64, len(marked))
+                both[:, 1] = np.fromiter(map(self.plain.__getitem__, [x[-1] for x in marked]), np.int64, len(marked))
                 rest = [k for k, x in enumerate(marked) if x not in index]  # all, but for a mark met on its own
                 self._store(index, [marked[k] for k in rest], self._gather(both[rest].ravel()), self.length[both[rest]].sum(1))
-        return np.fromiter([index.get(x, 0) for x in strings], np.int64, len(strings))
+            at[missing] = np.fromiter(map(index.__getitem__, new), np.int64, len(new))
+        return np.where(odd, 0, at)
 
     def _gather(self, which: np.ndarray) -> np.ndarray:
         n = self.length[which]
@@ -190,25 +193,26 @@ class Tokens:
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, vocab: int) -> bytes:
-    words, filled = rangecoder.encode(ids, vocab) if len(ids) else (np.zeros(0, np.uint16), np.zeros(0, np.uint32))
+    words = rangecoder.encode(ids, vocab) if len(ids) else np.zeros(0, np.uint16)
     null = np.array([d is None for d in doc_ids], np.uint8)
     names = np.array([d or 0 for d in doc_ids], "<i8")
-    body = MAGIC + struct.pack("<IIIIQ", 1, len(doc_ids), vocab, len(filled), len(ids))
-    body += names.tobytes() + null.tobytes() + lengths.astype("<u4").tobytes() + filled.astype("<u4").tobytes() + words.astype("<u2").tobytes()
+    body = MAGIC + struct.pack("<IIIIQ", 2, len(doc_ids), vocab, 0, len(ids))
+    body += names.tobytes() + null.tobytes() + lengths.astype("<u4").tobytes() + words.astype("<u2").tobytes()
     return body + struct.pack("<I", zlib.crc32(body))
 
 
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if data[:4] != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
         raise ValueError("damaged token block")
-    _, docs, vocab, lanes, n = struct.unpack_from("<IIIIQ", data, 4)
+    version, docs, vocab, _, n = struct.unpack_from("<IIIIQ", data, 4)
+    if version != 2:
+        raise ValueError(f"token block of version {version}")
     at = 4 + 24
     names = np.frombuffer(data, "<i8", docs, at)
     null = np.frombuffer(data, "u1", docs, at := at + 8 * docs)
     lengths = np.frombuffer(data, "<u4", docs, at := at + docs)
-    filled = np.frombuffer(data, "<u4", lanes, at := at + 4 * docs)
-    words = np.frombuffer(data[at + 4 * lanes : -4], "<u2")
-    ids = rangecoder.decode(words, filled, n, vocab) if n else np.zeros(0, np.uint32)
+    words = np.frombuffer(data[at + 4 * docs : -4], "<u2")
+    ids = rangecoder.decode(words, n, vocab) if n else np.zeros(0, np.uint32)
     return [None if z else int(d) for d, z in zip(names, null, strict=True)], lengths, ids
 
 
