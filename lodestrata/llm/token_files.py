@@ -20,7 +20,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,10 @@ from .common import new_path, shuffle_partitions, tidy
 
 MAGIC = b"LSTB"
 BLOCK_IDS = 1 << 21
+#: Bytes of text encoded together.
+PORTION = 12 << 20
 #: Strings kept by a Python worker with their ids; beyond it the store is emptied.
-MEMO = 1_000_000
+MEMO = 1_500_000
 
 #: Marks that a byte-level tokenizer cuts off the letters before them.
 MARKS = ".,;:?!"
@@ -43,6 +45,23 @@ MARKS = ".,;:?!"
 BLOCKS = "part int, block int, n_docs int, n_ids long, part_offset long, data binary"
 
 
+class Index:
+    """Numbers of strings, looked up by Arrow for a whole array, so that known strings don't become Python's."""
+
+    def __init__(self) -> None:
+        self.names, self.numbers = [pa.array([], pa.large_string())], [np.array([-1])]
+
+    def extend(self, strings: list[str], first: int) -> None:
+        self.names.append(pa.array(strings, pa.large_string()))
+        self.numbers.append(np.arange(first, first + len(strings)))
+
+    def of(self, strings: pa.Array) -> np.ndarray:
+        """Their numbers, -1 for unknown ones."""
+        self.names, self.numbers = [pa.concat_arrays(self.names)], [np.concatenate(self.numbers)]
+        at = pc.fill_null(pc.index_in(strings, value_set=self.names[0]), -1).to_numpy(zero_copy_only=False)
+        return self.numbers[0][at + 1]
+
+
 class Tokens:
     """Ids of whole texts by a tokenizer of the `tokenizers` library.
 
@@ -77,16 +96,16 @@ class Tokens:
         return cls._of[path]
 
     def clear(self) -> None:
-        """An empty store; number 0 has no ids."""
-        self.spaced: dict[str, int] = {}
-        self.plain: dict[str, int] = {}
-        self.flat, self.start, self.length = np.zeros(1 << 20, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.filled = 0
+        """An empty store: number 0 has no ids, number 1 is a line end."""
+        self.spaced, self.plain = Index(), Index()
+        self.flat, self.start, self.length = np.zeros(1 << 20, np.uint32), np.zeros(2, np.int64), np.arange(2)
+        self.flat[0], self.filled = max(self.line_end, 0), 1
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _store(self, index: dict[str, int], strings: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+    def _store(self, index: Index, strings: list[str], ids: np.ndarray, n: np.ndarray) -> int:
+        """Number of the first of the strings, the others follow."""
         while self.filled + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.filled : self.filled + len(ids)] = ids
@@ -94,46 +113,51 @@ class Tokens:
         self.start = np.concatenate([self.start, self.filled + np.cumsum(n) - n])
         self.length = np.concatenate([self.length, n])
         self.filled += len(ids)
-        index.update(zip(strings, range(first, first + len(strings)), strict=True))
+        index.extend(strings, first)
+        return first
 
-    def _encode_new(self, index: dict[str, int], strings: list[str], space: str) -> None:
+    def _encode_new(self, index: Index, strings: list[str], space: str) -> int:
         """Many pieces in one text, a line end between each two, which no piece holds and which the tokenizer keeps to itself."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for lo in range(0, len(strings), 4096):
             part = strings[lo : lo + 4096]
-            ids = np.array(self.tok.encode_batch_fast([space + ("\n" + space).join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
-            if len(ends) != len(part):  # pragma: no cover  another vocabulary
-                got = self.whole([space + x for x in part])
-                self._store(index, part, np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
-                continue
-            self._store(index, part, ids[ids != self.line_end], np.diff(ends, prepend=-1) - 1)
-
-    def numbers(self, strings: list[str], odd: np.ndarray, index: dict[str, int], space: str) -> np.ndarray:
+            got = np.array(self.tok.encode_batch_fast([space + ("\n" + space).join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(got == self.line_end), len(got))
+            if len(ends) == len(part):
+                ids.append(got[got != self.line_end])
+                sizes.append(np.diff(ends, prepend=-1) - 1)
+            else:  # pragma: no cover  another vocabulary
+                each = self.whole([space + x for x in part])
+                ids.append(np.fromiter(chain.from_iterable(each), np.uint32))
+                sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return self._store(index, strings, np.concatenate(ids), np.concatenate(sizes))
+
+    def numbers(self, strings: pa.Array, odd: np.ndarray, index: Index, space: str) -> np.ndarray:
         """Places in the store, new strings encoded first; 0 for odd ones."""
-        at = np.fromiter(map(index.get, strings, repeat(-1)), np.int64, len(strings))
+        at = index.of(strings)
         missing = np.flatnonzero((at < 0) & ~odd)
-        new = [strings[k] for k in missing.tolist()]
-        if new:
+        if len(missing):
+            wanted = strings.take(pa.array(missing))
+            new = wanted.to_pylist()
             marked = [x for x in new if x[-1] in MARKS and x[:-1].isalpha()]
+            bases = pa.array([x[:-1] for x in marked], pa.large_string())
+            apart = set(marked)
+            plain = [x for x in new if x not in apart]
+            base_at = index.of(bases)
+            known = set(plain)
+            plain += dict.fromkeys(x for x in bases.filter(pa.array(base_at < 0)).to_pylist() if x not in known)
+            first = self._encode_new(index, plain, space)
+            place = dict(zip(plain, range(first, first + len(plain)), strict=True))
             if marked:
-                apart = set(marked)
-                plain = [x for x in new if x not in apart]
-                bases = list(dict.fromkeys([x[:-1] for x in marked]))
-                known = set(plain)
-                plain += [x for x in bases if x not in index and x not in known]
-            else:
-                plain = new
-            self._encode_new(index, plain, space)
-            if marked:
-                marks = [m for m in MARKS if m not in self.plain]
-                if marks:
-                    self._encode_new(self.plain, marks, "")
-                both = np.empty((len(marked), 2), np.int64)
-                both[:, 0] = np.fromiter(map(index.__getitem__, [x[:-1] for x in marked]), np.int64, len(marked))
-                both[:, 1] = np.fromiter(map(self.plain.__getitem__, [x[-1] for x in marked]), np.int64, len(marked))
-                rest = [k for k, x in enumerate(marked) if x not in index]  # all, but for a mark met on its own
-                self._store(index, [marked[k] for k in rest], self._gather(both[rest].ravel()), self.length[both[rest]].sum(1))
-            at[missing] = np.fromiter(map(index.__getitem__, new), np.int64, len(new))
+                marks = pa.array(list(MARKS), pa.large_string())
+                if (self.plain.of(marks) < 0).any():
+                    self._encode_new(self.plain, list(MARKS), "")
+                unknown = np.flatnonzero(base_at < 0)
+                base_at[unknown] = [place[x] for x in bases.take(pa.array(unknown)).to_pylist()]
+                both = np.stack([base_at, self.plain.of(marks)[[MARKS.index(x[-1]) for x in marked]]], 1)
+                first = self._store(index, marked, self._gather(both.ravel()), self.length[both].sum(1))
+                place.update(zip(marked, range(first, first + len(marked)), strict=True))
+            at[missing] = [place[x] for x in new]
         return np.where(odd, 0, at)
 
     def _gather(self, which: np.ndarray) -> np.ndarray:
@@ -161,18 +185,15 @@ class Tokens:
         size = pc.binary_length(words)
         # white space at an end, or nothing
         odd = pc.or_(pc.equal(size, 0), pc.not_equal(size, pc.binary_length(pc.utf8_trim_whitespace(words)))).to_numpy(zero_copy_only=False)
-        distinct = words.to_pylist()
         firsts = piece_at[:-1]
         head_codes, back = np.unique(codes[firsts], return_inverse=True)
-        which = self.numbers(distinct, odd, self.spaced, " ")[codes]
-        which[firsts] = self.numbers([distinct[c] for c in head_codes], odd[head_codes], self.plain, "")[back]
+        which = self.numbers(words, odd, self.spaced, " ")[codes]
+        which[firsts] = self.numbers(words.take(pa.array(head_codes)), odd[head_codes], self.plain, "")[back]
         odd = odd[codes]
         # a line end before every line but a text's first
         inner = np.ones(len(firsts), bool)
         inner[line_at[:-1]] = False
-        if "\n" not in self.plain:
-            self._store(self.plain, ["\n"], np.array([self.line_end], np.uint32), np.ones(1, np.int64))
-        which = np.insert(which, firsts[inner], self.plain["\n"])
+        which = np.insert(which, firsts[inner], 1)
         moved = firsts + np.cumsum(inner) - inner
         text_at = moved[line_at[:-1]]
         odd = np.insert(odd, firsts[inner], False)
@@ -235,7 +256,7 @@ def _packer(tokenizer: str, end_id: int, block_ids: int) -> Callable:
 
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
-            ends = np.flatnonzero(np.diff(np.cumsum(sizes) // (4 << 20), append=-1)) + 1
+            ends = np.flatnonzero(np.diff(np.cumsum(sizes) // PORTION, append=-1)) + 1
             for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
                 got, n = tok.encode(batch["text"].slice(lo, hi - lo))
                 names = batch["doc_id"].slice(lo, hi - lo).to_pylist()
