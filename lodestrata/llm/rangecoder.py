@@ -20,7 +20,7 @@ WEIGHT_BITS = 10
 #: A lane writes 16 bits when its range is below; then the range is 2^48 or more again.
 LEAST = U(1 << 48)
 SLOTS = 18
-STEPS, MOST_LANES = 256, 8192
+STEPS, MOST_LANES = 256, 8191
 
 
 class Model:
@@ -63,26 +63,25 @@ class Model:
         """The place of the two ids before, what is stored for them, and the ids of order 1 and 2 and the weights' row."""
         h = ((before.view(U) * U(0x9E3779B97F4A7C15) + last.view(U)) * U(0xD6E8FEB86659FD93) >> U(64 - SLOTS)).astype(np.int64)
         s1, s2 = self.one[last], self.two[h]
-        p1, p2 = s1 >> I32(2), s2 >> I32(2)
+        p1, p2 = (s1 >> I32(2)).astype(np.int64), (s2 >> I32(2)).astype(np.int64)
         row = ((s2 & I32(3)) << I32(2)) + (s1 & I32(3)) + ((p1 == p2).astype(I32) << I32(4))
         return h, s1, s2, p1, p2, row.astype(np.int64)
 
-    def learn(self, x, last, h, s1, s2, p1, p2, row, w0, w1, w2) -> None:
+    def learn(self, x, last, h, s1, s2, p1, p2, row, w0, m1, m2) -> None:
         e1, e2 = x == p1, x == p2
         hit = np.flatnonzero(e1 | e2)
         if len(hit):
             y, at = x[hit], row[hit]
-            m1 = e1[hit] * (w1[hit] << self.shift).astype(np.float64)
-            m2 = e2[hit] * (w2[hit] << self.shift).astype(np.float64)
-            every = m1 + m2 + (w0[hit] * self.freq[y]).astype(np.float64)
+            m1, m2 = m1[hit] * e1[hit], m2[hit] * e2[hit]
+            every = (m1 + m2 + w0[hit] * self.freq[y]).astype(np.float64)
             n1, n2 = np.bincount(at, m1 / every, 32), np.bincount(at, m2 / every, 32)
             self.shares[:, 1] += n1
             self.shares[:, 2] += n2
             self.shares[:, 0] -= n1 + n2
         self.shares[:, 0] += np.bincount(row, minlength=32)
-        new = x << I32(2)
-        self.one[last] = new | np.where(e1, np.minimum((s1 & I32(3)) + I32(1), I32(3)), I32(1))
-        self.two[h] = new | np.where(e2, np.minimum((s2 & I32(3)) + I32(1), I32(3)), I32(1))
+        new = (x << 2 | 1).astype(I32)  # surer by one, 3 at most, where it was right
+        self.one[last] = new + e1 * np.minimum(s1 & I32(3), I32(2))
+        self.two[h] = new + e2 * np.minimum(s2 & I32(3), I32(2))
         self.seen.append(x)
         self.step += 1
         if self.step == self.next:
@@ -111,49 +110,49 @@ def encode(ids: np.ndarray, vocab: int) -> np.ndarray:
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Model(vocab)
     low, rng = np.zeros(lanes, U), np.full(lanes, ~U(0), U)
-    words, filled = np.zeros((2 * steps + 8, lanes), np.uint16), np.zeros(lanes, np.int64)
+    words, place = np.zeros((2 * steps + 8) * lanes, np.uint16), np.arange(lanes)  # the lanes' next words, `lanes` apart
     last, before = np.full(lanes, vocab, np.int64), np.full(lanes, vocab, np.int64)
-    lane_of, nth_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    order = [np.zeros(0, np.int64)]
     for t in range(steps):
         a = _rows(n, lanes, steps, t)
         if not a:
             break
-        x, la = grid[t, :a], last[:a]
+        x, la = grid[t, :a].astype(np.int64), last[:a]
         h, s1, s2, p1, p2, row = model.predict(la, before[:a])
         w0, w1, w2 = model.w0[row], model.w1[row], model.w2[row]
-        start = w0 * model.start[x] + ((w1 * (p1 < x) + w2 * (p2 < x)) << model.shift)
-        freq = w0 * model.freq[x] + ((w1 * (p1 == x) + w2 * (p2 == x)) << model.shift)
+        m1, m2 = w1 << model.shift, w2 << model.shift
+        start = w0 * model.start[x] + m1 * (p1 < x) + m2 * (p2 < x)
+        freq = w0 * model.freq[x] + m1 * (p1 == x) + m2 * (p2 == x)
         r = rng[:a] >> model.bits
         start *= r
         low[:a] += start
         over = np.flatnonzero(low[:a] < start)
         freq *= r
         rng[:a] = freq
-        at = filled[over] - 1
-        while len(over):  # a carry goes into the words before
-            words[at, over] += np.uint16(1)
-            still = words[at, over] == 0
-            over, at = over[still], at[still] - 1
+        at = place[over]
+        while len(at):  # a carry goes into the words before
+            at = at - lanes
+            words[at] += np.uint16(1)
+            at = at[words[at] == 0]
         todo = np.flatnonzero(freq < LEAST)
         while len(todo):
-            lo, nth = low[todo], filled[todo]
-            words[nth, todo] = lo >> U(48)
-            lane_of.append(todo)
-            nth_of.append(nth)
-            filled[todo] = nth + 1
+            lo, at = low[todo], place[todo]
+            words[at] = lo >> U(48)
+            order.append(at)
+            place[todo] = at + lanes
             low[todo] = lo << U(16)
             wide = rng[todo] << U(16)
             rng[todo] = wide
             todo = todo[wide < LEAST]
-        model.learn(x, la, h, s1, s2, p1, p2, row, w0, w1, w2)
+        model.learn(x, la, h, s1, s2, p1, p2, row, w0, m1, m2)
         before[:a] = la
         last[:a] = x
-    every = np.arange(lanes)
     for _ in range(4):
-        words[filled, every] = low >> U(48)
+        words[place] = low >> U(48)
         low <<= U(16)
-        filled += 1
-    return np.concatenate([words[:4].ravel(), words[np.concatenate(nth_of) + 4, np.concatenate(lane_of)]])
+        place += lanes
+    # the decoder is four words ahead
+    return np.concatenate([words[: 4 * lanes], words.take(np.concatenate(order) + 4 * lanes)])
 
 
 def decode(words: np.ndarray, n: int, vocab: int) -> np.ndarray:
@@ -173,9 +172,7 @@ def decode(words: np.ndarray, n: int, vocab: int) -> np.ndarray:
         h, s1, s2, p1, p2, row = model.predict(la, before[:a])
         w0, w1, w2 = model.w0[row], model.w1[row], model.w2[row]
         r = rng[:a] >> model.bits
-        v = (c.astype(np.float64) / r.astype(np.float64)).astype(U)  # to within 1
-        v -= v * r > c
-        v += c - v * r >= r
+        v = c // r
         m1, m2 = w1 << model.shift, w2 << model.shift
         # where the predicted ids' shares start, and how wide they are
         both = p1 == p2
@@ -183,14 +180,15 @@ def decode(words: np.ndarray, n: int, vocab: int) -> np.ndarray:
         start2 = w0 * model.start[p2] + m1 * (p1 < p2)
         wide1 = w0 * model.freq[p1] + m1 + m2 * both
         wide2 = w0 * model.freq[p2] + m2 + m1 * both
-        hit2 = v - start2 < wide2
-        x = np.where(hit2, p2, p1)
-        start, freq = np.where(hit2, start2, start1), np.where(hit2, wide2, wide1)
-        new = np.flatnonzero(~hit2 & (v - start1 >= wide1))
+        hit1, hit2 = v - start1 < wide1, v - start2 < wide2
+        x, start, freq = p1.copy(), start1.copy(), wide1
+        k = np.flatnonzero(hit2)
+        x[k], start[k], freq[k] = p2[k], start2[k], wide2[k]
+        new = np.flatnonzero(~(hit1 | hit2))
         if len(new):
             u, w = v[new], w0[new]
             past = (u > start1[new]) * m1[new] + (u > start2[new]) * m2[new]
-            y = model.holder[((u - past) // w).astype(np.int64)]
+            y = model.holder[((u - past) // w).view(np.int64)].astype(np.int64)
             x[new] = y
             start[new] = w * model.start[y] + past
             freq[new] = w * model.freq[y]
@@ -205,7 +203,7 @@ def decode(words: np.ndarray, n: int, vocab: int) -> np.ndarray:
             rng[todo] = wide
             todo = todo[wide < LEAST]
         grid[t, :a] = x
-        model.learn(x, la, h, s1, s2, p1, p2, row, w0, w1, w2)
+        model.learn(x, la, h, s1, s2, p1, p2, row, w0, m1, m2)
         before[:a] = la
         last[:a] = x
     return np.ascontiguousarray(grid.T).ravel()[:n]

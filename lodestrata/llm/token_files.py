@@ -39,8 +39,9 @@ PORTION = 12 << 20
 #: Strings kept by a Python worker with their ids; beyond it the store is emptied.
 MEMO = 1_500_000
 
-#: Marks that a byte-level tokenizer cuts off the letters before them.
-MARKS = ".,;:?!"
+#: Marks, a run of which a byte-level tokenizer cuts off the letters before it.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+LONGEST_RUN = 7
 
 BLOCKS = "part int, block int, n_docs int, n_ids long, part_offset long, data binary"
 
@@ -49,10 +50,11 @@ class Index:
     """Numbers of strings, looked up by Arrow for a whole array, so that known strings don't become Python's."""
 
     def __init__(self) -> None:
-        self.names, self.numbers = [pa.array([], pa.large_string())], [np.array([-1])]
+        """The empty string has number 0."""
+        self.names, self.numbers = [pa.array([""], pa.large_string())], [np.array([-1, 0])]
 
-    def extend(self, strings: list[str], first: int) -> None:
-        self.names.append(pa.array(strings, pa.large_string()))
+    def extend(self, strings: pa.Array, first: int) -> None:
+        self.names.append(strings)
         self.numbers.append(np.arange(first, first + len(strings)))
 
     def of(self, strings: pa.Array) -> np.ndarray:
@@ -67,7 +69,7 @@ class Tokens:
 
     A byte-level tokenizer without normaliser cuts a text before a space that a character other than white space follows, and
     round a line end that has such characters on both sides. So a text is encoded piece by piece, each distinct piece (with its
-    space) once, and a piece of letters and one mark as the letters and the mark, which it cuts apart too. Other tokenizers,
+    space) once, and a piece of letters and marks as the letters and the marks, which it cuts apart too. Other tokenizers,
     and texts where white space meets white space or an end of the text, are encoded whole.
     """
 
@@ -96,29 +98,36 @@ class Tokens:
         return cls._of[path]
 
     def clear(self) -> None:
-        """An empty store: number 0 has no ids, number 1 is a line end."""
+        """An empty store, in which number 0 has no ids."""
         self.spaced, self.plain = Index(), Index()
-        self.flat, self.start, self.length = np.zeros(1 << 20, np.uint32), np.zeros(2, np.int64), np.arange(2)
-        self.flat[0], self.filled = max(self.line_end, 0), 1
+        self.flat, self.start, self.length = np.zeros(1 << 20, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.filled = 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _store(self, index: Index, strings: list[str], ids: np.ndarray, n: np.ndarray) -> int:
-        """Number of the first of the strings, the others follow."""
+    def _numbers(self, strings: pa.Array, index: Index, space: str) -> np.ndarray:
+        """Places in the store; new strings are encoded first."""
+        at = index.of(strings)
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return at
+        new = strings.take(pa.array(missing))
+        ids, sizes = self._encode_new(new.to_pylist(), space)
         while self.filled + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.filled : self.filled + len(ids)] = ids
         first = len(self.start)
-        self.start = np.concatenate([self.start, self.filled + np.cumsum(n) - n])
-        self.length = np.concatenate([self.length, n])
+        self.start = np.concatenate([self.start, self.filled + np.cumsum(sizes) - sizes])
+        self.length = np.concatenate([self.length, sizes])
         self.filled += len(ids)
-        index.extend(strings, first)
-        return first
+        index.extend(new, first)
+        at[missing] = np.arange(first, first + len(new))
+        return at
 
-    def _encode_new(self, index: Index, strings: list[str], space: str) -> int:
+    def _encode_new(self, strings: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
         """Many pieces in one text, a line end between each two, which no piece holds and which the tokenizer keeps to itself."""
-        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        ids, sizes = [], []
         for lo in range(0, len(strings), 4096):
             part = strings[lo : lo + 4096]
             got = np.array(self.tok.encode_batch_fast([space + ("\n" + space).join(part)], add_special_tokens=False)[0].ids, np.uint32)
@@ -130,40 +139,27 @@ class Tokens:
                 each = self.whole([space + x for x in part])
                 ids.append(np.fromiter(chain.from_iterable(each), np.uint32))
                 sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
-        return self._store(index, strings, np.concatenate(ids), np.concatenate(sizes))
-
-    def numbers(self, strings: pa.Array, odd: np.ndarray, index: Index, space: str) -> np.ndarray:
-        """Places in the store, new strings encoded first; 0 for odd ones."""
-        at = index.of(strings)
-        missing = np.flatnonzero((at < 0) & ~odd)
-        if len(missing):
-            wanted = strings.take(pa.array(missing))
-            new = wanted.to_pylist()
-            marked = [x for x in new if x[-1] in MARKS and x[:-1].isalpha()]
-            bases = pa.array([x[:-1] for x in marked], pa.large_string())
-            apart = set(marked)
-            plain = [x for x in new if x not in apart]
-            base_at = index.of(bases)
-            known = set(plain)
-            plain += dict.fromkeys(x for x in bases.filter(pa.array(base_at < 0)).to_pylist() if x not in known)
-            first = self._encode_new(index, plain, space)
-            place = dict(zip(plain, range(first, first + len(plain)), strict=True))
-            if marked:
-                marks = pa.array(list(MARKS), pa.large_string())
-                if (self.plain.of(marks) < 0).any():
-                    self._encode_new(self.plain, list(MARKS), "")
-                unknown = np.flatnonzero(base_at < 0)
-                base_at[unknown] = [place[x] for x in bases.take(pa.array(unknown)).to_pylist()]
-                both = np.stack([base_at, self.plain.of(marks)[[MARKS.index(x[-1]) for x in marked]]], 1)
-                first = self._store(index, marked, self._gather(both.ravel()), self.length[both].sum(1))
-                place.update(zip(marked, range(first, first + len(marked)), strict=True))
-            at[missing] = [place[x] for x in new]
-        return np.where(odd, 0, at)
-
-    def _gather(self, which: np.ndarray) -> np.ndarray:
-        n = self.length[which]
-        ends = np.cumsum(n)
-        return self.flat[np.repeat(self.start[which] - ends + n, n) + np.arange(int(n.sum()))]
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _words(self, words: pa.Array, odd: np.ndarray, index: Index, space: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the words, one after the other, and the number for each; odd ones have none."""
+        stem = pc.utf8_rtrim(words, MARKS)
+        cut = (pc.binary_length(words).to_numpy() - pc.binary_length(stem).to_numpy()).astype(np.int64)
+        apart = (cut > 0) & (cut <= LONGEST_RUN) & pc.utf8_is_alpha(stem).to_numpy(zero_copy_only=False) & ~odd
+        stem = pc.if_else(pa.array(odd), "", pc.if_else(pa.array(apart), stem, words)).dictionary_encode()
+        both = np.zeros((len(words), 2), np.int64)
+        both[:, 0] = self._numbers(stem.dictionary, index, space)[stem.indices.to_numpy()]
+        rows = np.flatnonzero(apart)
+        if len(rows):
+            data, at = _bytes(words)
+            size = cut[rows]
+            run = np.zeros(len(rows), np.uint64)
+            for k in range(LONGEST_RUN):
+                run |= np.where(k < size, data[np.minimum(at[rows + 1] - size + k, len(data) - 1)], 0).astype(np.uint64) << np.uint64(8 * k)
+            runs, back = np.unique(run, return_inverse=True)
+            marks = pa.array([int(x).to_bytes(8, "little").rstrip(b"\0").decode() for x in runs], pa.large_string())
+            both[rows, 1] = self._numbers(marks, self.plain, "")[back]
+        return _gather(self.flat, self.start, self.length, both.ravel()), self.length[both].sum(1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number for each text."""
@@ -186,21 +182,27 @@ class Tokens:
         # white space at an end, or nothing
         odd = pc.or_(pc.equal(size, 0), pc.not_equal(size, pc.binary_length(pc.utf8_trim_whitespace(words)))).to_numpy(zero_copy_only=False)
         firsts = piece_at[:-1]
-        head_codes, back = np.unique(codes[firsts], return_inverse=True)
-        which = self.numbers(words, odd, self.spaced, " ")[codes]
-        which[firsts] = self.numbers(words.take(pa.array(head_codes)), odd[head_codes], self.plain, "")[back]
+        heads, back = np.unique(codes[firsts], return_inverse=True)
+        spaced = self._words(words, odd, self.spaced, " ")
+        plain = self._words(words.take(pa.array(heads)), odd[heads], self.plain, "")
+        # what stands in this text: words after a space, words at the start of a line, the line end
+        flat = np.concatenate([spaced[0], plain[0], [self.line_end]]).astype(np.uint32)
+        length = np.concatenate([spaced[1], plain[1], [1]])
+        start = np.cumsum(length) - length
+        which = codes.astype(np.int64)
+        which[firsts] = len(words) + back
         odd = odd[codes]
         # a line end before every line but a text's first
         inner = np.ones(len(firsts), bool)
         inner[line_at[:-1]] = False
-        which = np.insert(which, firsts[inner], 1)
+        which = np.insert(which, firsts[inner], len(length) - 1)
         moved = firsts + np.cumsum(inner) - inner
         text_at = moved[line_at[:-1]]
         odd = np.insert(odd, firsts[inner], False)
         bad = np.add.reduceat(odd, text_at) > 0
         bad &= pc.binary_length(texts).to_numpy() > 0  # an empty text is its one, empty piece
-        n = np.add.reduceat(self.length[which], text_at)
-        ids = self._gather(which)
+        n = np.add.reduceat(length[which], text_at)
+        ids = _gather(flat, start, length, which)
         again = np.flatnonzero(bad)
         if len(again):
             bounds = np.concatenate([[0], np.cumsum(n)])
@@ -213,6 +215,20 @@ class Tokens:
         return ids, n
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:
+    n = length[which]
+    ends = np.cumsum(n)
+    place = np.arange(int(ends[-1]) if len(ends) else 0)
+    place += np.repeat(start[which] - ends + n, n)
+    return flat[place]
+
+
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of large strings, and where each begins."""
+    _, offsets, data = strings.buffers()
+    return np.frombuffer(data, np.uint8), np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+
+
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, vocab: int) -> bytes:
     words = rangecoder.encode(ids, vocab) if len(ids) else np.zeros(0, np.uint16)
     null = np.array([d is None for d in doc_ids], np.uint8)
