@@ -197,7 +197,7 @@ def test_range_coder_mixes():
         m.learn(x, last, h, s1, s2, p1, p2, row, w[0], w[1] << m.shift, w[2] << m.shift)
     # lane 0 and 1 share an order-1 context, in which id 7 came last; order 2 tells them apart
     assert p1.tolist() == [7, 7, 5, 5] and p2.tolist() == [5, 7, 5, 5]
-    assert w[2][0] > w[1][0] and w[2][0] > w[0][0]
+    assert w[2][0] > 4 * w[1][0]
 
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
