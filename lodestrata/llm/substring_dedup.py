@@ -85,17 +85,16 @@ class SuffixAutomaton:
 
 
 def _settler(length: int):
-    def settle(content: list[bytes], count: np.ndarray, known: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def settle(content: list[bytes], count: np.ndarray, twice: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """The regions of one anchor are a reference shard; each is streamed through the shard's automaton."""
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             words = [x.split(b" ") for x in content[a:b]]
             shard = SuffixAutomaton()
-            for w, twice in zip(words, known[a:b], strict=True):
-                shard.add(w, 2 if twice else 1)
+            for w, more in zip(words, twice[a:b], strict=True):
+                shard.add(w, 2 if more else 1)
             shard.count()
             for i, w in enumerate(words):
-                if not known[a + i]:
-                    yield a + i, shard.repeated(w, length)
+                yield a + i, shard.repeated(w, length)
 
     return settle
 
@@ -109,14 +108,17 @@ def _slices(data: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 35, k: int | None = None, texts: bool = False) -> DataFrame:
     """Remove every word in a window of `threshold` words whose sequence also starts anywhere else: doc_id, n_words, n_removed, kept_sha256.
 
-    Documents are cut into regions by anchors (windows.py). Regions whose anchor occurs again go, whole and with their equals
-    taken together, to the reference shard of the anchor; a suffix automaton of the shard is built where it is used, and its
-    regions are streamed through it for matching statistics. A shard has at most some thousand regions, so an automaton has a
-    size bound and needs no broadcast; anchors with more are settled window by window, by hash, over all tasks.
+    Documents are cut into regions by anchors (windows.py). Regions whose anchor occurs again go, equal ones as one that counts
+    as two, to the reference shard of the anchor; a suffix automaton of the shard is built in the task that then streams the
+    shard's regions through it for matching statistics. A shard has at most some thousand regions: anchors with more are dealt
+    out once more, each window to the shard of a hash of the whole window. So an automaton has a size bound, and each goes to
+    the one task that needs it; broadcasting each to all tasks would stream the corpus once for every shard of itself.
 
     Words are separated by ASCII white space; windows don't cross documents and are judged on the input. With `texts` the result
     also has `kept`, the words that stay, joined by a space. Null text: no words. Repeated rows repeat each other like any
-    copies. Rows of one identifier with different texts share their removals. Null identifiers are no identifiers. Empty table: no rows. Further columns are ignored.
+    copies; rows of one identifier with different texts are different documents, and so are rows with null identifiers. Very
+    long texts are cut into regions piece by piece; only a document's own text and runs meet in one place. Identifiers may have
+    any type. Empty table: no rows. Further columns are ignored.
     """
     k = k or max(1, threshold // 2)
     spans = save(find_repeats(docs, word_tokens, _slices, _settler(threshold), threshold, k, id_col, text_col), "spans")

@@ -15,16 +15,18 @@ from .windows import byte_tokens, covered, find_repeats, kept_parts
 DIGIT = 8
 
 
-def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-    """Groups (indices into `at`) of suffixes data[at:] that agree in `group` and in their first `depth` bytes.
+def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int, twice: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of suffixes data[at:] that agree in `group` and in their first `depth` bytes: indices into `at`, and where each group ends.
 
-    Most significant digit first, eight bytes a pass; suffixes alone in their group drop out at once, and no pass goes beyond `depth`.
+    Most significant digit first, eight bytes a pass; suffixes alone in their group drop out at once, and no pass goes beyond
+    `depth`. One that stands for equal ones (`twice`) is a group of its own as soon as it is alone.
     """
     padded = np.concatenate([data, np.zeros(DIGIT, np.uint8)]).astype(np.uint64)
     word = np.zeros(len(data), np.uint64)
     for i in range(DIGIT):
         word |= padded[i : i + len(data)] << np.uint64(8 * (DIGIT - 1 - i))
     live, rank = np.arange(len(at)), group.astype(np.int64)
+    lone = []
     for d in range(0, depth, DIGIT):
         digit = word[at[live] + d]
         if depth - d < DIGIT:
@@ -33,15 +35,19 @@ def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int
         live, rank, digit = live[order], rank[order], digit[order]
         new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (digit[1:] != digit[:-1])])
         alone = new & np.concatenate([new[1:], [True]])
+        if twice is not None:
+            lone.append(live[alone & twice[live]])
         rank = np.cumsum(new)[~alone]
         live = live[~alone]
         if not len(live):
-            return
-    yield from np.split(live, np.flatnonzero(np.diff(rank)) + 1)
+            break
+    lone = np.concatenate([np.zeros(0, np.int64), *lone])
+    ends = np.flatnonzero(np.concatenate([rank[1:] != rank[:-1], [True]])) + 1 if len(live) else np.zeros(0, np.int64)
+    return np.concatenate([lone, live]), np.concatenate([np.arange(1, len(lone) + 1), len(lone) + ends])
 
 
 def _settler(length: int):
-    def settle(content: list[bytes], count: np.ndarray, known: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def settle(content: list[bytes], count: np.ndarray, twice: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Regions lo..hi-1 of neighbouring bounds share an anchor; all are sorted together, the anchor the first digit."""
         per = 200_000  # suffixes sorted at once, whole anchors
         weight = np.concatenate([[0], np.cumsum(count)])
@@ -59,8 +65,7 @@ def _settler(length: int):
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             anchor = np.searchsorted(bounds, np.arange(a, b), side="right")
             marks = np.zeros(len(owner), bool)
-            for g in radix_groups(data, start[owner] + step, anchor[owner], length):
-                marks[g] = True
+            marks[radix_groups(data, start[owner] + step, anchor[owner], length, twice[a:b][owner])[0]] = True
             ends = np.cumsum(n)
             for i in range(b - a):
                 yield a + i, marks[ends[i] - n[i] : ends[i]]
@@ -79,12 +84,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Suffixes are ordered only through their first `threshold` bytes, by passes from the most significant digit on; groups still
     together after the last are the repeated windows. The first digit, over all tasks, is the window's anchor (windows.py), which
-    leaves only windows whose anchor occurs again; regions equal as a whole are one digit further; the rest is sorted byte by byte
-    within shards of anchors, or, for anchors with thousands of different regions, by the hash of the window over all tasks.
+    leaves only windows whose anchor occurs again. Equal regions are taken together: one is sorted, and counts as two. Anchors
+    with thousands of different regions get one more digit over all tasks, a hash of the whole window. Then each task sorts the
+    suffixes of its anchors byte by byte.
 
     Strings don't cross documents and are judged on the input. n_spans counts maximal removed runs. With `texts` the result also
     has `kept`, the bytes that stay. Null text: empty, nothing removed. Repeated rows (same identifier and text) repeat each
-    other like any copies. Rows of one identifier with different texts share their removals. Null identifiers are no identifiers. Empty table: no rows. Further columns are ignored.
+    other like any copies; rows of one identifier with different texts are different documents, and so are rows with null
+    identifiers. Very long texts are cut into regions piece by piece and sorted in the tasks of their anchors; only a document's
+    own text and runs meet in one place. Identifiers may have any type. Empty table: no rows. Further columns are ignored.
     """
     k = k or max(1, threshold // 2)
     spans = save(find_repeats(docs, byte_tokens, _slices, _settler(threshold), threshold, k, id_col, text_col), "spans")

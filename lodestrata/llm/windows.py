@@ -4,8 +4,12 @@ A window is `length` consecutive tokens of a document. Each window has an anchor
 leftmost of equals), so equal windows have equal anchors at equal places. Neighbouring windows mostly share their anchor; such
 a run of windows is a region. Documents are first cut into regions, one small row each (about 2 / (length - k + 2) per token).
 
-Regions whose anchor occurs nowhere else hold no repeated window. Regions whose whole text occurs again are repeated as a whole.
-What is left, regions that share an anchor but not the whole text, is settled on its text by the operator's own method.
+Regions whose anchor occurs nowhere else hold no repeated window. Of the others, equal regions (anchor and whole text, by 128 bits)
+form a class, of which one region stands for all with the mark that there are more. These are fetched from the texts and settled
+on them by the operator's own method, and what it finds goes back to all members of the class.
+
+An anchor with more than HOT classes (the edge of a passage that many documents share) is too much for one task. Its regions are
+dealt out once more, each window on its own with the whole window as the anchor, and then go the same way.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import SALTS, explode_salts, forget, salt_mask, salt_of, save, tidy
 
@@ -27,8 +32,10 @@ BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
 PLACE_BITS = U(24)
 #: Tokens looked at together; a longer document is cut into overlapping pieces.
 CHUNK = 1 << 18
-#: From so many unsettled regions of one anchor on, they are settled window by window over all tasks.
+#: Classes of one anchor that are settled together.
 HOT = 4000
+#: Regions or windows that are settled in one portion of a task.
+SHARD = 2000
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -192,17 +199,17 @@ def _unpacked(batch: pa.RecordBatch) -> pa.Array:
 
 
 def document_number(id_col: str, text_col: str) -> Column:
-    """Tells documents apart: the identifier, or where that is null a number over 2^62 made from the text."""
-    return F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(F.xxhash64(F.lit(5), text_col), 2) + F.lit(2**62))
+    """Tells documents apart: the identifier (a hash of one that is no whole number), or where it is null a number over 2^62 made from the text."""
+    return F.coalesce(F.col(id_col).try_cast("long"), F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.shiftrightunsigned(F.xxhash64(F.lit(5), text_col), 2) + F.lit(2**62))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, and `row`, the document's number."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), document_number(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    """id, text, and what tells documents apart: `row`, the number, and `mark`, a hash of the text."""
+    return docs.select(F.col(id_col).alias("id"), document_number(id_col, text_col).alias("row"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"), F.col(text_col).cast("string").alias("text"))
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, row and the text compressed, so that what is shuffled stays small."""
+    """id, row, mark and the text compressed, so that what is shuffled stays small."""
     rows = _rows(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +217,9 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             for part in _portions(batch, "text"):
                 body = [press.compress(x.as_py() or b"") for x in part["text"].cast(pa.binary())]
-                yield pa.RecordBatch.from_pydict({"id": part["id"], "row": part["row"], "body": pa.array(body, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": part["id"], "row": part["row"], "mark": part["mark"], "body": pa.array(body, pa.binary())})
 
-    return rows.mapInArrow(tidy(run), "id long, row long, body binary")
+    return rows.mapInArrow(tidy(run), StructType([rows.schema["id"]]).add("row", "long").add("mark", "long").add("body", "binary"))
 
 
 _SEED = U(0x2545F4914F6CDD1D)
@@ -223,11 +230,11 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 
 def find_repeats(docs: DataFrame, tokens: Callable, slices: Callable, settle: Callable, length: int, k: int, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
-    """Runs of repeated windows: row, first, count.
+    """Runs of repeated windows: row, mark, first, count.
 
     `tokens(bytes, bounds)` gives token values and bounds; `slices(bytes, bounds, owner, lo, hi)` the bytes of token ranges;
-    `settle(contents, counts, known)` tells for regions that share an anchor which of their windows are repeated among them (a
-    list of boolean arrays); a `known` one stands for several equal regions.
+    `settle(contents, counts, twice, bounds)` tells for regions, of which those between two bounds share an anchor, which of
+    their windows are repeated (pairs of region and boolean array); a region that is there `twice` stands for equal ones.
     """
     rows = _rows(docs, id_col, text_col)
 
@@ -235,85 +242,89 @@ def find_repeats(docs: DataFrame, tokens: Callable, slices: Callable, settle: Ca
         for batch in batches:
             for part in _portions(batch, "text"):
                 r = regions(*tokens(*_texts(part["text"])), length, k)
-                row = part["row"].to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_pydict({"row": row[r.owner], "first": r.first.astype(np.int32), "count": r.count.astype(np.int32), "anchor": _long(r.anchor), "whole": _long(r.whole)})
+                row, mark = (part[c].to_numpy(zero_copy_only=False) for c in ("row", "mark"))
+                yield pa.RecordBatch.from_pydict({"row": row[r.owner], "mark": mark[r.owner], "first": r.first.astype(np.int32), "count": r.count.astype(np.int32), "anchor": _long(r.anchor), "whole": _long(r.whole)})
 
-    cuts = save(rows.select("row", "text").mapInArrow(tidy(cut), "row long, first int, count int, anchor long, whole long"), "regions")
+    cuts = save(rows.select("row", "mark", "text").mapInArrow(tidy(cut), "row long, mark long, first int, count int, anchor long, whole long"), "regions")
     salted = cuts.withColumn("salt", salt_of(F.col("row")))
-    # anchors that occur again; `same`: all their regions are equal
-    anchors = salted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") == F.max("whole")).alias("same"), salt_mask("salt")).where("n > 1").drop("n")
+    anchors = salted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), salt_mask("salt")).where("n > 1").drop("n")
     met = save(salted.join(explode_salts(anchors, "_salts", "salt"), ["anchor", "salt"]), "regions")
     forget(cuts)
-    mixed = met.where("not same")
-    # of the regions of one anchor, classes of equal ones: `known` has the members, and one of them stands for all when settling
-    classes = mixed.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "count")).alias("one"), salt_mask("salt"))
-    classes = save(classes, "regions")
-    again = classes.where("n > 1").select("anchor", "whole", "_salts")
-    settled = met.where("same").select("row", "first", "count").unionByName(mixed.join(explode_salts(again, "_salts", "salt"), ["anchor", "whole", "salt"]).select("row", "first", "count"))
+    # the first ones are all of the same row, and long numbers, which are combined without sorting
+    one = [F.first(c).alias(c) for c in ("row", "mark", "first", "count")]
+    classes = save(met.groupBy("anchor", "whole").agg((F.count(F.lit(1)) > 1).alias("twice"), *one, salt_mask("salt")), "regions")
     heavy = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > hot)
-    wanted = classes.select("anchor", (F.col("n") > 1).alias("known"), "one.*").withColumn("salt", salt_of(F.col("row")))
-    many = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    wanted = wanted.join(many, ["anchor", "salt"], "left").withColumn("hot", F.col("many").isNotNull()).drop("many", "salt")
-    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "known", "hot", "first", "count")).alias("want"))
-    bodies = packed(docs, id_col, text_col)
-    asked = bodies.join(wanted, "row")
+    heavy = heavy.select("anchor", F.lit(True).alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    wanted = classes.withColumn("salt", salt_of(F.col("row"))).join(heavy, ["anchor", "salt"], "left").drop("salt")
+    wanted = wanted.groupBy("row", "mark").agg(F.collect_list(F.struct("anchor", "whole", "_salts", "twice", F.col("hot").isNotNull().alias("hot"), "first", "count")).alias("want"))
+    asked = packed(docs, id_col, text_col).drop("id").join(wanted, ["row", "mark"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _portions(batch, "body", 256 << 10):
                 want = part["want"]
                 data, at = _texts(_unpacked(part))
-                values, bounds = tokens(data, at)
-                high = Sums(values, 1)
+                _, bounds = tokens(data, at)
                 owner = np.repeat(np.arange(len(part)), pc.list_value_length(want).to_numpy(zero_copy_only=False))
                 w = want.flatten()
                 first, count = (w.field(c).to_numpy().astype(np.int64) for c in ("first", "count"))
                 lo = bounds[owner] + first
-                hi = lo + count - 1 + length
-                ok = np.flatnonzero(hi <= bounds[owner + 1])  # not so for another text of the same identifier
-                owner, first, count, lo, hi, w = owner[ok], first[ok], count[ok], lo[ok], hi[ok], w.take(pa.array(ok))
-                is_hot = w.field("hot").to_numpy(zero_copy_only=False)
-                content = slices(data, at, lo, hi)
-                prints = []
-                for a, c, h in zip(lo, count, is_hot, strict=True):
-                    if h:
-                        s = np.arange(a, a + c)
-                        prints.append(_long(_mix(high.of(s, s + length) ^ _SEED)))
-                    else:
-                        prints.append(None)
-                content = [None if h else x for x, h in zip(content, is_hot, strict=True)]
-                row = part["row"].to_numpy()[owner]
-                for s in range(0, len(row), 20_000):
+                content = slices(data, at, lo, lo + count - 1 + length)
+                fields = {c: w.field(c) for c in ("anchor", "whole", "_salts", "twice", "hot", "count")}
+                for s in range(0, len(w), 20_000):
                     e = slice(s, s + 20_000)
-                    yield pa.RecordBatch.from_pydict({"anchor": w.field("anchor")[e], "known": w.field("known")[e], "row": row[e], "first": first[e].astype(np.int32), "count": count[e].astype(np.int32), "content": pa.array(content[e], pa.binary()), "prints": pa.array(prints[e], pa.list_(pa.int64()))})
+                    yield pa.RecordBatch.from_pydict({c: v[e] for c, v in fields.items()} | {"content": pa.array(content[e], pa.binary())})
 
-    asked = save(asked.mapInArrow(tidy(fetch), "anchor long, known boolean, row long, first int, count int, content binary, prints array<long>"), "regions")
+    asked = save(asked.mapInArrow(tidy(fetch), "anchor long, whole long, _salts long, twice boolean, hot boolean, count int, content binary"), "regions")
 
     def judge(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("anchor", "ascending"), ("row", "ascending"), ("first", "ascending")])
-        anchor = table["anchor"].to_numpy()
-        known = table["known"].to_numpy()
-        count, first, row = (table[c].to_numpy() for c in ("count", "first", "row"))
-        content = table["content"].to_pylist()
-        out: list[tuple[int, int, int]] = []
+        table = table.sort_by([("anchor", "ascending"), ("whole", "ascending")])
+        anchor, count, twice = (table[c].to_numpy() for c in ("anchor", "count", "twice"))
         ends = np.flatnonzero(np.concatenate([anchor[1:] != anchor[:-1], [True]])) + 1
-        for i, marks in settle(content, count, known, np.concatenate([[0], ends])):
-            if known[i] or not marks.any():
-                continue
+        which, first, size = [], [], []
+        for i, marks in settle(table["content"].to_pylist(), count, twice, np.concatenate([[0], ends])):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
-            out += [(row[i], first[i] + a, b - a) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.Table.from_pydict({"row": pa.array(cols[0], pa.int64()), "first": pa.array(cols[1], pa.int32()), "count": pa.array(cols[2], pa.int32())})
-
-    n = asked.where("content is not null").count()
-    shards = max(1, n // 2000)
-    cold = asked.where("content is not null").select("anchor", "known", "row", "first", "count", "content", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    cold = cold.groupBy("shard").applyInArrow(judge, "row long, first int, count int")
-    # windows of hot anchors: one more digit, the hash of the whole window, deals them out
-    each = asked.where("content is null").select("anchor", "known", "row", "first", F.posexplode("prints").alias("step", "print")).withColumn("salt", salt_of(F.col("row")))
-    digits = each.groupBy("anchor", "print").agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("n"), salt_mask("salt")).where("n > 1").drop("n")
-    warm = each.where("not known").join(explode_salts(digits, "_salts", "salt"), ["anchor", "print", "salt"]).select("row", (F.col("first") + F.col("step")).alias("first"), F.lit(1).alias("count"))
-    return settled.unionByName(cold).unionByName(warm)
+            which += [i] * (len(edge) // 2)
+            first += edge[::2].tolist()
+            size += (edge[1::2] - edge[::2]).tolist()
+        found = table.select(["anchor", "whole", "_salts"]).take(pa.array(which, pa.int64()))
+        return found.append_column("first", pa.array(first, pa.int32())).append_column("count", pa.array(size, pa.int32()))
+
+    def settled(units: DataFrame, many: int) -> DataFrame:
+        shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, many // SHARD))).alias("shard")
+        return units.select("anchor", "whole", "_salts", "twice", "count", "content", shard).groupBy("shard").applyInArrow(judge, "anchor long, whole long, _salts long, first int, count int")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of regions of hot anchors: the region, the place in it, two hashes and the text of the window."""
+        for batch in batches:
+            for part in _portions(batch, "content", 16 << 10):
+                data, at = _texts(part["content"])
+                values, bounds = tokens(data, at)
+                n = part["count"].to_numpy().astype(np.int64)
+                owner = np.repeat(np.arange(len(part)), n)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                lo = bounds[owner] + step
+                low, high = (_mix(Sums(values, x).of(lo, lo + length) ^ _SEED) for x in (0, 1))
+                fields = {c: part[c].take(pa.array(owner)) for c in ("anchor", "whole", "_salts", "twice")}
+                yield pa.RecordBatch.from_pydict(fields | {"step": step.astype(np.int32), "anchor2": _long(high), "whole2": _long(low), "content": pa.array(slices(data, at, lo, lo + length), pa.binary())})
+
+    each = asked.where("hot").drop("hot").mapInArrow(tidy(windows), "anchor long, whole long, _salts long, twice boolean, step int, anchor2 long, whole2 long, content binary")
+    each = each.withColumn("salt2", salt_of(F.col("whole")))
+    shared = each.groupBy("anchor", "anchor2", "whole2").agg((F.sum(F.when(F.col("twice"), 2).otherwise(1)) > 1).alias("twice"), F.first("content").alias("content"), salt_mask("salt2"))
+    shared = save(shared.where("twice").select(F.xxhash64("anchor", "anchor2").alias("anchor"), F.col("whole2").alias("whole"), "_salts", "twice", F.lit(1).alias("count"), "content"), "regions")
+    again = save(settled(shared, shared.count()), "regions")
+    warm = each.select(F.xxhash64("anchor", "anchor2").alias("a"), F.col("whole2").alias("w"), "salt2", "anchor", "whole", "_salts", "step")
+    again = explode_salts(again.select(F.col("anchor").alias("a"), F.col("whole").alias("w"), F.col("_salts").alias("_s")).distinct(), "_s", "salt2")
+    # a class has at most length - k + 1 windows
+    warm = warm.join(again, ["a", "w", "salt2"]).groupBy("anchor", "whole", "_salts").agg(F.collect_set("step").alias("steps"))
+    starts = F.array_sort(F.filter("steps", lambda s: ~F.array_contains("steps", s - 1)))
+    ends = F.array_sort(F.filter("steps", lambda s: ~F.array_contains("steps", s + 1)))
+    warm = warm.select("anchor", "whole", "_salts", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("r")).select("anchor", "whole", "_salts", F.col("r.s").alias("first"), (F.col("r.e") - F.col("r.s") + 1).alias("count"))
+    cold = asked.where("not hot")
+    runs = settled(cold, cold.count()).unionByName(warm)
+    runs = runs.groupBy("anchor", "whole").agg(F.collect_set(F.struct("first", "count")).alias("runs"), F.first("_salts").alias("_salts"))
+    spans = met.select("anchor", "whole", "salt", "row", "mark", F.col("first").alias("at")).join(explode_salts(runs, "_salts", "salt"), ["anchor", "whole", "salt"])
+    return spans.select("row", "mark", "at", F.explode("runs").alias("r")).select("row", "mark", (F.col("at") + F.col("r.first")).alias("first"), F.col("r.count").alias("count"))
 
 
 def kept_parts(docs: DataFrame, spans: DataFrame, work: Callable, schema: str, id_col: str, text_col: str) -> DataFrame:
@@ -321,8 +332,10 @@ def kept_parts(docs: DataFrame, spans: DataFrame, work: Callable, schema: str, i
 
     `work` returns a dict of columns with a value for each text; the result has doc_id and these.
     """
-    per = spans.groupBy("row").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
-    rows = packed(docs, id_col, text_col).join(per, "row", "left")
+    per = spans.groupBy("row", "mark").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
+    rows = packed(docs, id_col, text_col)
+    kind = rows.schema["id"].dataType
+    rows = rows.join(per, ["row", "mark"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,7 +348,7 @@ def kept_parts(docs: DataFrame, spans: DataFrame, work: Callable, schema: str, i
                 out = work(data, at, owner, first, count)
                 yield pa.RecordBatch.from_pydict({"doc_id": part["id"], **out})
 
-    return rows.mapInArrow(tidy(run), f"doc_id long, {schema}")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind.simpleString()}, {schema}")
 
 
 def covered(total: int, lo: np.ndarray, hi: np.ndarray, most: np.ndarray) -> np.ndarray:

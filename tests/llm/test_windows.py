@@ -91,11 +91,44 @@ def test_same_identifier_and_empty(spark):
         assert f(df.limit(0), threshold=6).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4000, 0])
+def test_texts_of_one_identifier_are_told_apart(spark, monkeypatch, hot):
+    """Each row's removals are its own, whether the identifier is shared, null or a string."""
+    texts = ["q " * 3 + "a b c d e f g h i j", "z " * 5 + "a b c d e f g h", "k l m n o p q r s t"]
+    for f, column in ((suffixes.suffix_dedup, "n_removed"), (words.substring_dedup, "n_removed")):
+        module = suffixes if f is suffixes.suffix_dedup else words
+        monkeypatch.setattr(module, "find_repeats", lambda *a: windows.find_repeats(*a, hot=hot))
+        runs = []
+        for ids, kind in (([1, 2, 3], "long"), ([7, 7, 7], "long"), ([None] * 3, "long"), (["x", "x", None], "string")):
+            df = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string")
+            out = f(df, threshold=6).collect()
+            assert sorted(str(r.doc_id) for r in out) == sorted(map(str, ids))
+            runs.append(sorted(r[column] for r in out))
+        assert all(r == runs[0] for r in runs) and len({*runs[0]}) > 1
+
+
+def test_frequent_anchor(spark, monkeypatch):
+    """A passage that many documents share, each going on in its own way: more regions of an anchor than are settled together."""
+    rng = random.Random(8)
+    passage = " ".join("".join(rng.choice("abcdef") for _ in range(3)) for _ in range(12))
+    texts = [f"{rng.randint(0, 9)} {rng.choice('xyz')}{passage} {rng.choice('xyz')} {rng.randint(0, 999)}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for module, f, split, length in ((suffixes, suffixes.suffix_dedup, lambda t: list(t.encode()), 30), (words, words.substring_dedup, str.split, 8)):
+        monkeypatch.setattr(module, "find_repeats", lambda *a: windows.find_repeats(*a, hot=20))
+        want = [sum(gone) for gone in brute([split(t) for t in texts], length)]
+        assert [r.n_removed for r in sorted(f(df, threshold=length).collect())] == want
+
+
 def test_radix_groups():
     data = np.frombuffer(b"abcabcabcabcabdabc", np.uint8)
     at = np.arange(0, 12)
     for depth in (1, 3, 6):
         want = Counter(bytes(data[i : i + depth]) for i in at)
-        got = [sorted(g.tolist()) for g in suffixes.radix_groups(data, at, np.zeros(12, int), depth)]
+        assert [x.tolist() for x in suffixes.radix_groups(data, at[:1], np.zeros(1, int), depth, np.array([True]))] == [[0], [1]]
+        which, ends = suffixes.radix_groups(data, at, np.zeros(12, int), depth)
+        got = [sorted(g.tolist()) for g in np.split(which, ends[:-1]) if len(g)]
         assert sorted(map(len, got)) == sorted(n for n in want.values() if n > 1)
         assert all(len({bytes(data[i : i + depth]) for i in g}) == 1 for g in got)
+        # one that stands for several is a group, alone or not
+        which, ends = suffixes.radix_groups(data, at, np.zeros(12, int), depth, np.arange(12) == 9)
+        assert sorted(np.diff(ends, prepend=0)) == sorted(n for w, n in want.items() if n > 1 or w == bytes(data[9 : 9 + depth]))
