@@ -36,11 +36,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_dir(spark)}/lodestrata/{tag}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, and lost executors lose nothing of it."""
+def save(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write to the shared folder (a folder for each value of the column `by`) and read back: cuts the lineage, and lost executors lose nothing of it."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*[by] if by else []).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -103,22 +103,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node of the component.
 
     Alternates large-star and small-star rounds, each a groupBy that Spark combines before it shuffles, until no edge changes;
-    each round is written to the shared folder. Isolated nodes don't appear.
+    each round is written to the shared folder. A node with many edges is dealt over SALTS parts in the joins. Nodes are any
+    long numbers. Isolated nodes don't appear.
     """
     cur = save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc")
     mark = None
     for _ in range(rounds):
-        both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"), (F.col("_m") < F.col("a")).alias("has"))
+        both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("salt", salt_of(F.col("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("_m"), salt_mask("salt")).select("a", F.least("a", "_m").alias("m"), (F.col("_m") < F.col("a")).alias("has"), "_salts")
         # large star: each larger neighbour is tied to the smallest of the neighbourhood
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = join_stats(both.where("b > a"), low.select("a", "m", "_salts"), ["a"], "salt").select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = low.where("has").select("a", F.col("m").alias("b"))
-        nxt = large.unionByName(own).where("a <> b").distinct()
+        nxt = large.unionByName(own).where("a <> b").distinct().withColumn("salt", salt_of(F.col("b")))
         # small star: smaller neighbours are tied to the smallest
-        mins = nxt.groupBy("a").agg(F.min("b").alias("m"))
-        small = nxt.join(mins, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(mins.select("a", F.col("m").alias("b"))).distinct()
+        mins = nxt.groupBy("a").agg(F.min("b").alias("m"), salt_mask("salt"))
+        small = join_stats(nxt, mins, ["a"], "salt").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(mins.select("a", F.col("m").alias("b"))).distinct()
         new = save(small, "cc")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum("b")).first()
+        now = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b"))).first()
         forget(cur)
         cur = new
         if now == mark:

@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lodestrata.llm import decontaminate as D
+from lodestrata.llm import line_dedup as L
 from lodestrata.llm import rangecoder, token_files
 from lodestrata.llm.common import components
 from lodestrata.llm.exact_dedup import exact_dedup
@@ -57,7 +58,7 @@ def test_exact_dedup_null_ids_and_repeats(spark):
     assert exact_dedup(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("batches,fanout", [(1, 2), (4, 2), (3, 3)])
+@pytest.mark.parametrize("batches,fanout", [(1, 2), (None, 2), (4, 3)])
 def test_line_dedup(spark, docs, batches, fanout):
     rows = corpus()
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(UP)
@@ -76,6 +77,32 @@ def test_line_dedup(spark, docs, batches, fanout):
     assert line_dedup(docs.limit(0)).count() == 0
 
 
+def test_line_runs_are_compacted_and_merged_in_place(spark, docs, monkeypatch):
+    """With the defaults of the registered query runs are compacted, and joined without shuffling or sorting them again."""
+    seen, plans = [], []
+    close, add = L.Runs.close, L.Runs.write
+
+    def write(runs, keys):
+        plans.append(keys._jdf.queryExecution().toString() if runs.levels else "")
+        return add(runs, keys)
+
+    monkeypatch.setattr(L.Runs, "write", write)
+    monkeypatch.setattr(L.Runs, "close", lambda runs: (seen.append((runs.compactions, [lv for lv, _ in runs.levels])), close(runs)))
+    line_dedup(docs).count()
+    assert seen == [(3, [2, 0, 0])]
+    plan = plans[-1].split("== Physical Plan ==")[-1]
+    assert "SortMergeJoin" in plan and plan.count("Exchange") <= 1, plan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lodestrata_run")]
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(10,2)", "int"])
+def test_line_dedup_identifier_types(spark, kind):
+    rows = [("2", "a shared line"), ("10", "a shared line\nx"), (None, "another line of null\na shared line"), ("3", "ANOTHER line of null ")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    out = line_dedup(df).collect()
+    assert sorted((len(r.text), r.n_dropped) for r in out) == sorted([(0, 1), (1, 1), (34, 0), (0, 1)])
+
+
 def test_line_dedup_null_ids(spark):
     df = spark.createDataFrame([(None, "a shared line"), (2, "a shared line\nx"), (2, "a shared line\nx")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_dropped) for r in line_dedup(df).collect()) == [(0, 0), (2, 1), (2, 1)]
