@@ -17,8 +17,8 @@ U = np.uint64
 HASHES, BAND = 128, 4
 #: MinHash values compared before each pruning.
 ROUND = 16
-#: Documents of one side of a unit of work.
-BLOCK = 4096
+#: Documents of one side of a unit of work: BLOCK, more for groups that would have over MOST_PARTS sides, WIDEST at most.
+BLOCK, MOST_PARTS, WIDEST = 256, 64, 4096
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -162,74 +162,148 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
+def _alike(sig: np.ndarray, i: np.ndarray, j: np.ndarray, need: list[int]) -> np.ndarray:
+    """Which of the pairs stay when pruned by their signatures, ROUND values at a time."""
+    left, same = np.arange(len(i)), np.zeros(len(i), np.int16)
+    for r, least in enumerate(need):
+        s = slice(r * ROUND, (r + 1) * ROUND)
+        same += (sig[i[left], s] == sig[j[left], s]).sum(1, dtype=np.int16)
+        ok = same >= least
+        left, same = left[ok], same[ok]
+    return left
+
+
+def tied(sig: np.ndarray, side: np.ndarray, across: bool, need: list[int]) -> np.ndarray:
+    """Roots of the documents of a bucket, tied by the pairs that pruning leaves (`across`: pairs of two sides only).
+
+    Pairs that are tied already needn't be compared: a few documents are compared with all first, which ties most of a bucket
+    of near copies, and then those outside the largest component with all that aren't in theirs.
+    """
+    n = len(sig)
+    every, root = np.arange(n), np.arange(n)
+    for _ in range(4):
+        loose = np.flatnonzero(root != np.bincount(root, minlength=n).argmax())
+        if not len(loose):
+            return root
+        pivot = loose[0]
+        ok = (root != root[pivot]) & ((side != side[pivot]) | (not across))
+        j = every[ok]
+        j = j[_alike(sig, np.full(len(j), pivot), j, need)]
+        root = _roots(n, np.append(every, np.full(len(j), pivot)), np.append(root, j))
+    loose = np.flatnonzero(root != np.bincount(root, minlength=n).argmax())
+    for lo in range(0, len(loose), max(1, (1 << 20) // n)):
+        rows = loose[lo : lo + max(1, (1 << 20) // n)]
+        ok = root[rows][:, None] != root[None, :]
+        if across:
+            ok &= side[rows][:, None] != side[None, :]
+        i, j = np.nonzero(ok)
+        i = rows[i]
+        got = _alike(sig, i, j, need)
+        root = _roots(n, np.append(every, i[got]), np.append(root, j[got]))
+    return root
+
+
+def _dealt(rows: DataFrame, size: str, group: str, node: str, block: int) -> DataFrame:
+    """Rows with a unit of work: small groups whole, in packs; of a large one a pair of sides (lo, hi), so that all pairs meet.
+
+    A row of a large group is repeated for each side that its own meets.
+    """
+    packs = max(1, rows.count() // 200)
+    wide = F.ceil(F.col(size) / block)
+    parts = F.greatest(F.least(wide, F.lit(MOST_PARTS)), F.ceil(F.col(size) / WIDEST)).cast("int")
+    rows = rows.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64(F.lit(7), node), F.col("parts").cast("long")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    big = F.col("parts") > 1
+    pack = F.when(big, F.col(group)).otherwise(F.pmod(F.xxhash64(group), F.lit(packs)))
+    return rows.withColumns({"big": big, "pack": pack, "lo": F.least("side", "with"), "hi": F.greatest("side", "with")}).drop("parts", "with")
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, n: int = 5, tolerance: float = 1e-7, block: int = BLOCK) -> DataFrame:
     """Documents whose sets of n-word shingles have a Jaccard similarity of `threshold` or more, one row for each document:
-    doc_id, class_id, n_links, copy_of, n_copies, number, kept.
+    doc_id, class_id, n_links, copy_of, n_copies, number, mark, kept.
 
     class_id is the smallest identifier of the documents connected by links, n_links the number of other documents within the
-    threshold; `kept` marks the document that class_id names. Documents of the same words are copies: copy_of is the smallest of them, n_copies how many. Copies are taken
-    together first (combined before the shuffle), so they are never paired.
+    threshold; `kept` marks the document that class_id names. Documents of the same words are copies: copy_of is the smallest of
+    them, n_copies how many. Copies are taken together first (combined before the shuffle), so they are never paired.
 
     Candidates share four MinHash values in a row of 128 in one of 32 bands; two documents at 0.8 fail to with a probability
-    under 1e-7. Each band bucket ties its members to its first one only; what is connected so is a candidate group. A group's
-    pairs are compared in one task, or block by block (`block` documents a side) for a large group: MinHash values 16 at a time,
-    pairs dropped when the posterior probability of reaching the threshold is under `tolerance`, the rest verified exactly on
-    their shingles. A task returns each document's number of links and its local root, never the pairs.
+    under 1e-7. Only documents that share a band's bucket are compared, MinHash values 16 at a time (a byte of each), a pair
+    being dropped when the posterior probability of reaching the threshold is under `tolerance`; buckets with the same members
+    are taken once. What is left ties documents to groups, a tie for each document, not a row for each pair. In a group the
+    pairs that the same pruning on whole values leaves are verified exactly on their shingles; a task returns each document's
+    number of links and its local root, never the pairs. Large buckets and groups are dealt out block by block (`block`
+    documents a side, more where a group would have over 64 sides).
 
     Words are a-z, 0-9 and characters beyond ASCII, A-Z lower-cased; a text of fewer than n words has one shingle of all of
-    them; one without words (null, empty) has no links. Rows with null identifiers get a number made from their text,
-    over 2^62, in place of one (`number` is the identifier or that). Rows of
-    one identifier with different texts must not occur. Repeated rows are copies. Empty table: no rows.
+    them; one without words (null, empty) has no links. `number` is the identifier, a hash of one that is no whole number, and
+    for a null one a number over 2^62 made from the text; `mark` is a hash of the text. Rows of one identifier with different
+    texts are different documents. Repeated rows are copies. Very long texts are signed 1 MB at a time or alone. Empty table:
+    no rows. Further columns are ignored.
     """
+    need = least_matches(threshold, tolerance)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _portions(batch, "text"):
                 values, bounds = word_values(*_texts(part["text"]))
                 grams, at = shingles(values, bounds, n)
-                keys = band_keys(signatures(grams, at))
+                sig = signatures(grams, at)
+                keys = band_keys(sig)
                 low, high = Sums(values, 0), Sums(values, 1)
                 lo, hi = bounds[:-1], bounds[1:]
                 ends = (np.arange(len(part) + 1) * keys.shape[1]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(ends, _long(keys.ravel()))
-                yield pa.RecordBatch.from_pydict({"row": part["row"], "id": part["id"], "h1": _long(_mix(low.of(lo, hi))), "h2": _long(_mix(high.of(lo, hi))), "words": (hi - lo).astype(np.int64), "bands": bands})
+                brief = pa.array([x.tobytes() for x in (sig & np.uint32(255)).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_pydict({"id": part["id"], "row": part["row"], "mark": part["mark"], "h1": _long(_mix(low.of(lo, hi))), "h2": _long(_mix(high.of(lo, hi))), "words": (hi - lo).astype(np.int64), "bands": bands, "sig": brief})
 
-    signed = save(_rows(docs, id_col, text_col).mapInArrow(tidy(sign), "row long, id long, h1 long, h2 long, words long, bands array<long>"), "join")
-    members = signed.select("row", "id", "h1", "h2", "words", salt_of(F.col("row")).alias("salt"))
+    rows = _rows(docs, id_col, text_col)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, row long, mark long, h1 long, h2 long, words long, bands array<long>, sig binary"
+    signed = save(rows.mapInArrow(tidy(sign), schema), "join").withColumn("salt", salt_of(F.col("row")))
+    members = signed.select("row", "mark", "id", "h1", "h2", "words", "salt")
     same = ["h1", "h2", "words"]
-    classes = signed.where("words > 0").withColumn("salt", salt_of(F.col("row"))).groupBy(*same).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), salt_mask("salt"), F.min_by("bands", "row").alias("bands"))
-    classes = save(classes, "join")
+    # a class of copies is a node, its number the first hash of its words
+    classes = signed.where("words > 0").groupBy(*same).agg(F.min(F.struct("row", "mark")).alias("rep"), F.count(F.lit(1)).alias("copies"), salt_mask("salt"), F.min_by(F.struct("bands", "sig"), "row").alias("own"))
+    classes = save(classes.select(F.col("h1").alias("node"), *same, "rep", "copies", "_salts", "own.*"), "join")
+
+    bands = classes.select("node", F.explode("bands").alias("key")).withColumn("salt", salt_of(F.col("node")))
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("all"), salt_mask("salt")).where("size > 1")
+    buckets = buckets.groupBy("size", "lead", "all").agg(F.min("key").alias("key"), F.first("_salts").alias("_salts")).select("key", "size", "_salts")
+    held = save(join_stats(bands, buckets, ["key"], "salt").select("node", "key", "size").join(classes.select("node", "sig"), "node"), "join")
 
-    bands = classes.select("rep", F.explode("bands").alias("key")).withColumn("salt", salt_of(F.col("rep")))
-    firsts = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n"), salt_mask("salt")).where("n > 1").drop("n")
-    ties = join_stats(bands, firsts, ["key"], "salt").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    groups = save(components(ties), "join")
+    def tie(key: tuple, table: pa.Table) -> pa.Table:
+        across = key[2].as_py() != key[3].as_py()
+        table = table.sort_by([("key", "ascending"), ("node", "ascending")]).combine_chunks()
+        bucket, node, side = (table[c].to_numpy() for c in ("key", "node", "side"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(node), HASHES)
+        lead = node.copy()
+        ends = np.flatnonzero(np.concatenate([bucket[1:] != bucket[:-1], [True]])) + 1
+        for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+            lead[lo:hi] = node[lo:hi][tied(sig[lo:hi], side[lo:hi], across, need)]
+        return pa.Table.from_pydict({"a": node, "b": lead}).filter(pa.array(node != lead))
+
+    ties = _dealt(held, "size", "key", "node", block).select("key", "node", "sig", "side", "big", "pack", "lo", "hi")
+    groups = save(components(ties.groupBy("big", "pack", "lo", "hi").applyInArrow(tie, "a long, b long")), "join")
 
     found = groups.withColumn("salt", salt_of(F.col("node")))
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"), salt_mask("salt"))
-    found = join_stats(found, sizes, ["root"], "salt").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
-    packs = max(1, groups.count() // 200)
-    found = found.withColumn("side", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts").cast("long")).cast("int"))
-    found = found.select(F.col("node").alias("rep"), "root", "parts", "side").join(classes.select("rep", "copies"), "rep")
-    found = found.join(packed(docs, id_col, text_col).select("row", "body"), F.col("rep") == F.col("row")).drop("row")
-    big = F.col("parts") > 1
-    found = found.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    found = found.select("rep", "root", "copies", "side", "body", big.alias("big"), F.when(big, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs))).alias("pack"), F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi"))
+    found = join_stats(found, sizes, ["root"], "salt").select("node", "root", "size").join(classes.select("node", "copies", "rep.*"), "node")
+    found = save(found.join(packed(docs, id_col, text_col).select("row", "mark", "body"), ["row", "mark"]), "join")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         lo, hi = key[2].as_py(), key[3].as_py()
-        table = table.sort_by([("root", "ascending"), ("rep", "ascending")]).combine_chunks()
-        rep = table["rep"].to_numpy()
-        fresh = np.flatnonzero(np.concatenate([[True], rep[1:] != rep[:-1]])) if len(rep) else np.zeros(0, np.int64)  # repeated rows
+        table = table.sort_by([("root", "ascending"), ("node", "ascending")]).combine_chunks()
+        node = table["node"].to_numpy()
+        fresh = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)  # repeated rows
         table = table.take(pa.array(fresh)).combine_chunks()
-        rep, root, copies, side = (table[c].to_numpy() for c in ("rep", "root", "copies", "side"))
+        node, root, copies, side = (table[c].to_numpy() for c in ("node", "root", "copies", "side"))
         grams, sig = [], []
         for batch in table.to_batches(max_chunksize=512):
             g, at = shingles(*word_values(*_texts(_unpacked(batch))), n)
             sig.append(signatures(g, at))
             grams += [np.unique(g[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
         sig = np.concatenate(sig) if sig else np.zeros((0, HASHES), np.uint32)
-        links, lead = np.zeros(len(rep), np.int64), rep.copy()
-        ends = np.flatnonzero(np.concatenate([root[1:] != root[:-1], [True]])) + 1 if len(rep) else []
+        links, lead = np.zeros(len(node), np.int64), node.copy()
+        ends = np.flatnonzero(np.concatenate([root[1:] != root[:-1], [True]])) + 1 if len(node) else []
         start = 0
         for end in ends:
             own = slice(start, end)
@@ -240,24 +314,29 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             i, j = similar_pairs(grams[own], sig[own], left, right, threshold, tolerance)
             c = copies[own]
             links[own] += np.bincount(i, c[j], end - start).astype(np.int64) + np.bincount(j, c[i], end - start).astype(np.int64)
-            lead[own] = rep[own][_roots(end - start, i, j)]
+            lead[own] = node[own][_roots(end - start, i, j)]
             start = end
-        return pa.Table.from_pydict({"rep": rep, "links": links, "lead": lead, "big": table["big"]})
+        return pa.Table.from_pydict({"node": node, "links": links, "lead": lead, "big": table["big"]})
 
-    judged = save(found.groupBy("big", "pack", "lo", "hi").applyInArrow(compare, "rep long, links long, lead long, big boolean"), "join")
-    per = judged.groupBy("rep").agg(F.sum("links").alias("links"), F.min("lead").alias("lead"), F.max("big").alias("big"))
-    across = judged.where("big and rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    units = _dealt(found, "size", "root", "node", block).select("node", "root", "copies", "side", "body", "big", "pack", "lo", "hi")
+    judged = save(units.groupBy("big", "pack", "lo", "hi").applyInArrow(compare, "node long, links long, lead long, big boolean"), "join")
+    per = judged.groupBy("node").agg(F.sum("links").alias("links"), F.min("lead").alias("lead"), F.max("big").alias("big"))
+    across = judged.where("big and node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     if not across.isEmpty():
-        joined = components(across).withColumnRenamed("node", "rep")
-        per = per.join(joined, "rep", "left").withColumn("lead", F.when(F.col("big"), F.coalesce("root", "rep")).otherwise(F.col("lead"))).drop("root")
-    stats = classes.select(*same, "rep", "copies", "_salts").join(per.select("rep", "links", "lead"), "rep", "left")
-    out = join_stats(members, stats, same, "salt", "left")
+        per = per.join(components(across), "node", "left").withColumn("lead", F.when(F.col("big"), F.coalesce("root", "node")).otherwise(F.col("lead"))).drop("root")
+    # the smallest document of each connected group
+    named = save(per.join(classes.select("node", "rep"), "node"), "join").withColumn("salt", salt_of(F.col("node")))
+    first = named.groupBy("lead").agg(F.min("rep").alias("first"), salt_mask("salt"))
+    named = join_stats(named.select("node", "links", "lead", "salt"), first, ["lead"], "salt").select("node", "links", "first")
+    stats = classes.select("node", *same, "rep", "copies", "_salts").join(named, "node", "left").drop("node")
+    out = join_stats(members, stats, same, "salt", "left").withColumn("first", F.coalesce("first", "rep", F.struct("row", "mark")))
     return out.select(
         F.col("id").alias("doc_id"),
-        F.coalesce("lead", "rep", "row").alias("class_id"),
+        F.col("first.row").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
-        F.coalesce("rep", "row").alias("copy_of"),
+        F.coalesce("rep.row", "row").alias("copy_of"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         F.col("row").alias("number"),
-        (F.col("row") == F.coalesce("lead", "rep", "row")).alias("kept"),
+        "mark",
+        F.col("first").eqNullSafe(F.struct("row", "mark")).alias("kept"),
     )

@@ -23,7 +23,6 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .common import SALTS, explode_salts, forget, salt_mask, salt_of, save, tidy
 
@@ -219,7 +218,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 body = [press.compress(x.as_py() or b"") for x in part["text"].cast(pa.binary())]
                 yield pa.RecordBatch.from_pydict({"id": part["id"], "row": part["row"], "mark": part["mark"], "body": pa.array(body, pa.binary())})
 
-    return rows.mapInArrow(tidy(run), StructType([rows.schema["id"]]).add("row", "long").add("mark", "long").add("body", "binary"))
+    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, row long, mark long, body binary")
 
 
 _SEED = U(0x2545F4914F6CDD1D)

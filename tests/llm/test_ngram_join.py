@@ -68,6 +68,47 @@ def test_nulls_repeats_and_empty(spark):
     assert J.ngram_join(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_copies_without_identifiers(spark, kind):
+    """Five near copies whose identifiers are null or the same: each is a document of its own, one of them is kept."""
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(120)]
+    texts = [" ".join(base[:-1] + [f"end{k}"]) for k in range(5)]
+    for ids in ([None] * 5, [3] * 5, [None, 3, 3, 4, None]):
+        df = spark.createDataFrame([(None if i is None else str(i) if kind == "string" else i, t) for i, t in zip(ids, texts, strict=True)], f"doc_id {kind}, text string")
+        out = J.ngram_join(df).collect()
+        assert len(out) == 5 and all(r.n_links == 4 for r in out) and len({r.class_id for r in out}) == 1
+        assert sum(r.kept for r in out) == 1
+
+
+def test_chain_of_weak_likeness(spark, monkeypatch):
+    """Texts that share buckets with their neighbours but are not near copies of them: they are not compared as one group."""
+    rng = random.Random(7)
+    stream = [f"w{rng.randint(0, 10**6)}" for _ in range(6000)]
+    rows = [(k, " ".join(stream[k * 25 : k * 25 + 60])) for k in range(200)]  # neighbours share 35 of 60 words
+    rows += [(1000 + k, t + " more") for k, t in rows[:40]]
+    groups = []
+    plain = J.components
+    monkeypatch.setattr(J, "components", lambda edges: groups.append(plain(edges)) or groups[-1])
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in J.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+    assert groups[0].groupBy("root").count().agg({"count": "max"}).first()[0] < 10
+
+
+def test_ties_are_the_components_of_what_pruning_leaves():
+    rng = np.random.default_rng(3)
+    need = J.least_matches(0.8, 1e-7)
+    centre = rng.integers(0, 255, (6, J.HASHES))
+    sig = np.where(rng.random((60, J.HASHES)) < 0.2, rng.integers(0, 255, (60, J.HASHES)), centre[rng.integers(0, 6, 60)]).astype(np.uint8)
+    side = rng.integers(0, 2, 60)
+    for across in (False, True):
+        i, j = np.triu_indices(60, 1)
+        keep = np.array([all((sig[a, : 16 * (r + 1)] == sig[b, : 16 * (r + 1)]).sum() >= m for r, m in enumerate(need)) for a, b in zip(i, j, strict=True)])
+        keep &= (side[i] != side[j]) | (not across)
+        want = J._roots(60, i[keep], j[keep])
+        assert (J.tied(sig, side, across, need) == want).all() and 2 < len(set(want)) < 60
+
+
 def test_pruning_keeps_similar_pairs():
     need = J.least_matches(0.8, 1e-7)
     assert need == sorted(need) and need[0] < 8 and 60 < need[-1] < 90
