@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, save
 
+#: Of the benchmark's windows, as strings.
+BROADCAST_BYTES = 256 << 20
 #: Everything in ASCII that is no lower-case letter or digit separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -44,11 +46,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     are found by the hash of their whole length, one pass for each such length (at most window-1). A document is contaminated
     if n_hit > 0 and 20 * n_hit >= n_words. `row` is `text_key`.
 
-    The benchmark's tables are broadcast only if they have `broadcast_rows` rows at most (some 100 bytes each); beyond it the same
-    joins shuffle. A document's fingerprint rows are combined where they are made, so one row for each document is shuffled.
+    The benchmark's tables are broadcast only if they have `broadcast_rows` rows (and BROADCAST_BYTES bytes of text) at most;
+    beyond it the same joins shuffle. A document's fingerprint rows are combined where they are made, so one row for each document is shuffled.
 
-    Null text has no words. Null items are no items. Rows with the same identifier and text are one document and give one
-    row. Empty benchmark: nothing is hit. Further columns are ignored.
+    Null text has no words. Null items are no items. Every row comes out, repeated rows as often as they are there, also with
+    null identifiers. Very long texts are arrays of words in one row. Empty benchmark: nothing is hit; empty table: no rows.
+    Further columns are ignored.
     """
     if not 0 < k <= window:
         raise ValueError("k is 1 to window")
@@ -61,13 +64,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     prints = items.withColumn("grams", grams).where(F.size("words") >= window).select(F.explode(_prints(window, k, [])).alias("print"))
     prints = prints.unionByName(items.where(F.size("words") < window).select(F.xxhash64("words").alias("print"))).distinct()
     prints = save(prints, "items")
-    n_prints, n_spans = prints.count(), spans.count()
-    small = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
+    n_prints = prints.count()
+    n_spans, span_bytes = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("span") + F.octet_length("item")), F.lit(0))).first()
+    small = lambda df, n, size=0: F.broadcast(df) if n <= broadcast_rows and size <= BROADCAST_BYTES else df
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body"))
     base = base.withColumns({"row": text_key("doc_id", "body"), "words": words_of(F.col("body"))})
-    found = base.withColumn("grams", grams).select("doc_id", "row", F.size("words").alias("n_words"), F.explode_outer(_prints(window, k, short)).alias("print"))
-    found = found.join(small(prints.withColumn("met", F.col("print")), n_prints), "print", "left").groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.collect_set("met").alias("met"))
+    found = base.withColumn("grams", grams).select("doc_id", "row", F.size("words").alias("n_words"), _prints(window, k, short).alias("prints"))
+    found = found.select("doc_id", "row", "n_words", F.greatest(F.size("prints"), F.lit(1)).alias("n_prints"), F.explode_outer("prints").alias("print"))
+    found = found.join(small(prints.withColumn("met", F.col("print")), n_prints), "print", "left").groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.max("n_prints").alias("n_prints"), F.count(F.lit(1)).alias("n"), F.collect_set("met").alias("met"))
     found = save(found, "prints")
 
     hits = found.where(F.size("met") > 0).select("row", F.col("doc_id").alias("id"), "met")
@@ -85,9 +90,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     tries = F.concat(*[starts(n) for n in [*short, window]])
     tries = near.select("doc_id", "row", "words", F.explode(tries).alias("at")).select("doc_id", "row", F.col("at.s").alias("s"), F.col("at.n").alias("n"), F.array_join(F.slice("words", F.col("at.s") + 1, F.col("at.n")), " ").alias("span"))
-    matched = tries.join(small(spans, n_spans), ["n", "span"]).groupBy("doc_id", "row").agg(F.collect_set(F.struct("s", "n")).alias("at"), F.collect_set("item").alias("items"))
+    matched = tries.join(small(spans, n_spans, span_bytes), ["n", "span"]).groupBy("doc_id", "row").agg(F.collect_set(F.struct("s", "n")).alias("at"), F.collect_set("item").alias("items"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1)))))
     matched = matched.select(F.col("doc_id").alias("id"), F.col("row").alias("r"), hit.cast("long").alias("n_hit"), F.array_sort("items").alias("items"))
+    # repeated rows were counted together; each comes out
+    found = found.withColumn("copy", F.explode(F.expr("sequence(1, int(n / n_prints))"))).drop("copy")
     out = found.join(matched, (found["row"] == matched["r"]) & found["doc_id"].eqNullSafe(matched["id"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     n_words = F.col("n_words").cast("long")

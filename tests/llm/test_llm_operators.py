@@ -13,11 +13,12 @@ from tokenizers import Tokenizer
 
 from lodestrata.llm import decontaminate as D
 from lodestrata.llm import line_dedup as L
-from lodestrata.llm import rangecoder, token_files
+from lodestrata.llm import mix, rangecoder, token_files
+from lodestrata.llm import quality as Q
 from lodestrata.llm.common import components
 from lodestrata.llm.exact_dedup import exact_dedup
 from lodestrata.llm.line_dedup import line_dedup
-from lodestrata.llm.mix import edf, mix_sources
+from lodestrata.llm.mix import mix_sources
 from lodestrata.llm.quality import dual_descent, held_out, quality_scores
 from lodestrata.llm.shard import shuffle_to_shards
 
@@ -119,7 +120,7 @@ def test_decontaminate(spark, broadcast_rows):
     text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
     items = [(i, text(rng.choice([3, 8, 13, 14, 30]))) for i in range(12)] + [(50, None), (51, "..."), (None, text(20)), (52, "solo")]
     docs = [(i, text(rng.randint(0, 60))) for i in range(60)] + [(100, None), (101, ""), (102, "Solo!"), (103, "a a a a"), (None, text(30))]
-    docs += [(200 + i, f"{text(5)} {t.upper() if t else ''}, {text(9)}") for i, t in items if i is not None] + [(300, "repeated"), (300, "repeated")]
+    docs += [(200 + i, f"{text(5)} {t.upper() if t else ''}, {text(9)}") for i, t in items if i is not None] + [(300, "repeated"), (300, "repeated"), (None, None), (None, None), (301, docs[5][1]), (301, docs[5][1])]
     spans = {}
     for i, t in items:
         w = words(t)
@@ -128,7 +129,7 @@ def test_decontaminate(spark, broadcast_rows):
             for k in range(len(w) - n + 1):
                 spans.setdefault(tuple(w[k : k + n]), set()).add(str(i))
     want = []
-    for i, t in set(docs):
+    for i, t in docs:
         w, hit, got = words(t), set(), set()
         for n in {len(s) for s in spans}:
             for k in range(len(w) - n + 1):
@@ -141,7 +142,9 @@ def test_decontaminate(spark, broadcast_rows):
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in out.collect())
     assert got == sorted(want)
     assert sum(w[4] for w in want) > 10
-    assert D.decontaminate(df, spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0 or contaminated").count() == 0
+    empty = D.decontaminate(df, spark.createDataFrame([], "item_id long, text string"))
+    assert empty.where("n_hit > 0 or contaminated").count() == 0 and empty.count() == len(docs)
+    assert D.decontaminate(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
 def test_shards(spark, docs):
@@ -177,26 +180,82 @@ def test_mixing(spark, docs):
     assert sorted(r.position for r in mix_sources(odd).collect()) == [0, 1, 2, 3]
 
 
-def test_edf_stays_within_a_block():
+def plain_edf(sizes, weights):
+    """(source, block) slot by slot, each block with its own release and deadline; counting starts anew when a source ends."""
+    left, done, start, t = list(sizes), [0] * len(sizes), [0] * len(sizes), 0
+    part = [max(1, round(w * mix.PARTS)) for w in weights]
+    base = 0
+    while any(left):
+        live = [i for i, n in enumerate(left) if n]
+        whole = sum(part[i] for i in live)
+        ready = [(-(-(done[i] - start[i] + 1) * whole // part[i]), i) for i in live if (done[i] - start[i]) * whole // part[i] <= t - base]
+        _, i = min(ready)
+        yield i, done[i]
+        done[i] += 1
+        left[i] -= 1
+        t += 1
+        if not left[i]:
+            base, start = t, list(done)
+
+
+def spread(found):
+    """The slots of phases written out."""
+    out = {}
+    for p in found:
+        for i, part in p.parts.items():
+            for b in range(p.blocks[i]):
+                out[p.start + b // part * p.whole + int(p.at[i][b % part])] = (i, p.first[i] + b)
+    assert sorted(out) == list(range(len(out)))
+    return [out[t] for t in sorted(out)]
+
+
+def test_phases_are_earliest_deadline_first(monkeypatch):
     rng = random.Random(5)
-    for _ in range(30):
-        w = [rng.random() + 0.01 for _ in range(rng.randint(1, 9))]
-        total = sum(w)
-        w = [x / total for x in w]
-        sizes = [max(1, int(300 * x)) for x in w]
-        done, left, phase, base = [0] * len(w), list(sizes), 0, [0] * len(w)
-        order = list(edf(sizes, w))
-        assert sorted(order) == sorted((i, b) for i, n in enumerate(sizes) for b in range(n))
-        for t, (i, b) in enumerate(order):
-            assert b == done[i]
-            live = [k for k in range(len(w)) if left[k] > 0]
-            done[i] += 1
-            left[i] -= 1
-            whole = sum(w[k] for k in live)
-            for k in live:
-                assert abs((done[k] - base[k]) - (t + 1 - phase) * w[k] / whole) < 1 + 1e-3
-            if not left[i]:
-                phase, base = t + 1, list(done)
+    for parts in (1 << 20, 32):  # with few parts, periods repeat
+        monkeypatch.setattr(mix, "PARTS", parts)
+        for _ in range(30):
+            w = [rng.random() + 0.05 for _ in range(rng.randint(1, 9))]
+            w = [x / sum(w) for x in w]
+            sizes = [rng.randint(1, 300) for _ in w]
+            order = spread(mix.phases(sizes, w))
+            assert order == list(plain_edf(sizes, w))
+            assert sorted(order) == sorted((i, b) for i, n in enumerate(sizes) for b in range(n))
+            part = [max(1, round(x * parts)) for x in w]
+            done, left, phase, base = [0] * len(w), list(sizes), 0, [0] * len(w)
+            for t, (i, _) in enumerate(order):
+                live = [k for k in range(len(w)) if left[k] > 0]
+                done[i] += 1
+                left[i] -= 1
+                for k in live:
+                    assert abs((done[k] - base[k]) - (t + 1 - phase) * part[k] / sum(part[x] for x in live)) < 1
+                if not left[i]:
+                    phase, base = t + 1, list(done)
+
+
+@pytest.mark.parametrize("weights", [None, {"s0": 1.0, "s1": 3.0, "s2": 0.5}])
+def test_mixing_against_plain_rows(spark, weights):
+    """Positions of all rows from sorting each source by hash and dealing out its blocks one by one."""
+    rows = spark.createDataFrame([(i, s) for i, _, _, s, *_ in corpus(400)], "doc_id long, source string")
+    hashed = {}
+    for i, s, h in rows.selectExpr("doc_id", "source", "xxhash64(29, doc_id)").collect():
+        hashed.setdefault(s, []).append((h, i))
+    names = sorted(hashed)
+    n = [len(hashed[s]) for s in names]
+    w = [weights.get(s, min(weights.values())) for s in names] if weights else [x**0.5 for x in n]
+    want, at = {}, 0
+    for i, b in plain_edf([-(-x // 5) for x in n], [x / sum(w) for x in w]):
+        for _, d in sorted(hashed[names[i]])[b * 5 : b * 5 + 5]:
+            want[d] = at
+            at += 1
+    got = {r.doc_id: r.position for r in mix_sources(rows.repartition(3), weights, block_rows=5).collect()}
+    assert got == want and at > 500
+
+
+def test_mixing_many_equal_rows(spark):
+    df = spark.createDataFrame([(None, "a")] * 300 + [(None, None)] * 40 + [(7, "b")] * 90 + [(k, "b") for k in range(100, 150)], "doc_id long, source string").repartition(5)
+    out = mix_sources(df, block_rows=8).collect()
+    assert sorted(r.position for r in out) == list(range(480))
+    assert Counter((r.doc_id, r.source) for r in out) == Counter((r.doc_id, r.source) for r in df.collect())
 
 
 def test_range_coder_round_trip():
@@ -285,6 +344,51 @@ def test_quality(spark):
     assert df.where(held_out(df["doc_id"])).count() > 50
 
 
+def test_log_count_ratios_against_plain_counting(spark, monkeypatch):
+    """Of every labelled row that isn't held out, counted text by text."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["fine", "plain", "BUY", "x!", "12", "é"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    labels = [(i, rng.randint(0, 1)) for i in range(0, 300, 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen = {}
+    plain = Q.dual_descent
+    monkeypatch.setattr(Q, "dual_descent", lambda rows, scale, sign, cost, rounds, seed: seen.update(scale=scale, rows=rows, sign=sign) or plain(rows, scale, sign, cost, rounds, seed))
+    Q.train(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    p, q, n = np.ones(Q.SLOTS), np.ones(Q.SLOTS), [0, 0]
+    for i, y in labels:
+        if zlib.crc32(str(i).encode()) % 5:
+            data = np.frombuffer(texts[i].encode(), np.uint8)
+            slots = np.unique(Q.indicators(data, np.array([0, len(data)]))[1])
+            (p if y else q)[slots] += 1
+            n[y] += 1
+    want = np.where(p + q < 4, 0, np.log((p / (n[1] + 2)) / (q / (n[0] + 2))))
+    nonzero = want != 0
+    ratio = seen["scale"][nonzero] / want[nonzero]
+    assert np.allclose(ratio, ratio[0]) and (seen["scale"][~nonzero] == 0).all() and nonzero.sum() > 50
+    assert len(seen["rows"]) == sum(n) - sum(n) // 5
+
+
+def test_dual_descent_against_a_plain_solver():
+    """The same objective by projected gradient steps on the whole dual."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 30, 8)) for _ in range(60)]
+    scale, cost = rng.normal(size=30), rng.uniform(0.2, 1, 60)
+    sign = np.where(rng.random(60) < 0.4, 1.0, -1.0)
+    x = np.zeros((60, 31))
+    for k, r in enumerate(rows):
+        x[k, r] = scale[r]
+    x[:, 30] = 1
+    kernel = (x * sign[:, None]) @ (x * sign[:, None]).T
+    a, step = np.zeros(60), 1 / np.linalg.eigvalsh(kernel)[-1]
+    for _ in range(60_000):
+        a = np.clip(a - step * (kernel @ a - 1), 0, cost)
+    want = (x * (a * sign)[:, None]).sum(0)
+    w, b = dual_descent(rows, scale, sign, cost, 3000, 0)
+    loss = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - sign * (x @ v))).sum()
+    assert abs(loss(np.append(w, b)) - loss(want)) < 1e-3 * loss(want)
+    assert np.abs(np.append(w, b) - want).max() < 0.02
+
+
 def test_dual_descent_separates():
     rows = [np.array([0, 2]), np.array([1, 2]), np.array([0]), np.array([1])]
     w, b = dual_descent(rows, np.ones(3), np.array([1.0, -1, 1, -1]), np.full(4, 10.0), 100, 0)
