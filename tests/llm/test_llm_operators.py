@@ -248,7 +248,7 @@ def test_mixing_against_plain_rows(spark, weights):
             want[d] = at
             at += 1
     got = {r.doc_id: r.position for r in mix_sources(rows.repartition(3), weights, block_rows=5).collect()}
-    assert got == want and at > 500
+    assert got == want and at == len(got) > 400
 
 
 def test_mixing_many_equal_rows(spark):
