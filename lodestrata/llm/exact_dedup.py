@@ -25,7 +25,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     meet by its SHA-256.
 
     Null text counts as empty. Null identifiers: such a row stays only if its group has no other. Rows with the same identifier
-    and text: exactly one of them is kept. Empty table: no rows. Further columns are ignored, whatever their names.
+    and text: exactly one of them is kept. Very long texts: the sort compares them whole, and only their digests go further.
+    Identifiers may have any type with an order. Empty table: no rows. Further columns are ignored, whatever their names.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")

@@ -149,8 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn from the labelled rows that aren't held out.
 
     The log-count ratios come from all those rows, counted where they are and summed by slot. The hinge-loss model is fitted on
-    the driver to a seeded sample of at most `sample_rows` of them (half of each class), about 3 KB each, whose identifiers are
-    broadcast; every fifth of the sample is kept for the logistic curve. `mix` pulls the weights towards their mean size.
+    the driver to a seeded sample of at most `sample_rows` of them (half of each class), 4 bytes for each n-gram place that a text
+    has (some KB; 390 KB at most, for a very long text), whose identifiers are broadcast; every fifth of the sample is kept for the logistic curve. `mix` pulls the weights towards their mean size.
 
     Labels with nulls are left out; without labelled rows of both classes the score is their share, or 0.5.
     """
@@ -237,7 +237,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """doc_id, held_out, score, predicted (1 if score >= threshold) for each row of `docs`.
 
     Only the text is looked at when scoring. Repeated rows get equal scores; null and empty texts get that of a text without
-    n-grams; null identifiers count as not held out by their own (empty) text. Empty table: no rows. Further columns are ignored.
+    n-grams; null identifiers count as not held out by their own (empty) text. Very long texts are looked at whole. Identifiers
+    may have any type. Empty table: no rows. Further columns are ignored.
     """
     model = train(docs, labels, id_col, text_col, **options)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

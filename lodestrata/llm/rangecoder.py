@@ -112,7 +112,7 @@ def encode(ids: np.ndarray, vocab: int) -> np.ndarray:
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Model(vocab)
     low, rng = np.zeros(lanes, U), np.full(lanes, ~U(0), U)
-    words, place = np.zeros((2 * steps + 8) * lanes, np.uint16), np.arange(lanes)  # the lanes' next words, `lanes` apart
+    words, place = np.zeros((3 * steps + 8) * lanes, np.uint16), np.arange(lanes)  # the lanes' next words, `lanes` apart
     last, before = np.full(lanes, vocab, np.int64), np.full(lanes, vocab, np.int64)
     order = [np.zeros(0, np.int64)]
     for t in range(steps):

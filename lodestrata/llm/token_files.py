@@ -301,8 +301,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
 
     Documents are in ascending order of the identifier, nulls first (or of the columns `order`): range-partitioned and sorted by
     it, and each task writes the blocks of its range. A block holds whole documents, so one longer than a block has a block of
-    its own size. Null text counts as empty: just the end id. Equal identifiers are all written, their order undefined. Empty
-    table: no blocks. Further columns are not read, whatever their names.
+    its own size. Null text counts as empty: just the end id. Equal identifiers are all written, their order undefined.
+    Identifiers must be whole numbers, of which the format holds 64 bits; others raise. Very long texts are encoded whole, in
+    one task. Empty table: no blocks. Further columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
