@@ -88,3 +88,23 @@ def test_run_and_empty(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{d}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
     assert P.run(spark, empty).count() == 0
+
+
+def test_odd_rows_and_clashing_names(spark, folder):
+    """Null and repeated identifiers, and columns with the names that the stages use; one row of each group of copies stays."""
+    d, texts, _ = folder
+    body = texts[2]
+    rows = [(None, body), (None, body), (5, body), (5, body), (5, texts[4]), (None, None), (None, None), (9, ""), (10, texts[8])]
+    names = ("number", "mark", "key", "position", "file", "index", "quality_score", "row", "salt", "first", "node")
+    docs = spark.createDataFrame([(i, t, None if k % 2 else "s", *[k] * len(names)) for k, (i, t) in enumerate(rows)], f"doc_id long, text string, source string, {', '.join(f'{c} int' for c in names)}").repartition(3)
+    for k, (name, stage) in enumerate(P.STAGES):
+        out = stage(spark, docs, d)
+        if k == len(P.STAGES) - 1:
+            assert out.count() == len(rows)
+            continue
+        assert out.columns == docs.columns, name
+        got = sorted((r.doc_id or -1, r.text or "") for r in out.collect())
+        if name == "n-gram Jaccard join":
+            assert [x for x in got if x[1] == body] == [(5, body)] and (5, texts[4]) in got and (10, texts[8]) in got
+        elif name == "mixing to weights":
+            assert got == sorted((i or -1, t or "") for i, t in rows)
