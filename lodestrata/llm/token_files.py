@@ -35,9 +35,9 @@ from .common import new_path, shuffle_partitions, tidy
 MAGIC = b"LSTB"
 BLOCK_IDS = 1 << 21
 #: Bytes of text encoded together.
-PORTION = 12 << 20
+PORTION = 6 << 20
 #: Strings kept by a Python worker with their ids; beyond it the store is emptied.
-MEMO = 1_500_000
+MEMO = 1_000_000
 
 #: Marks, a run of which a byte-level tokenizer cuts off the letters before it.
 MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
@@ -51,11 +51,11 @@ class Index:
 
     def __init__(self) -> None:
         """The empty string has number 0."""
-        self.names, self.numbers = [pa.array([""], pa.large_string())], [np.array([-1, 0])]
+        self.names, self.numbers = [pa.array([""], pa.large_string())], [np.array([-1, 0], np.int32)]
 
     def extend(self, strings: pa.Array, first: int) -> None:
         self.names.append(strings)
-        self.numbers.append(np.arange(first, first + len(strings)))
+        self.numbers.append(np.arange(first, first + len(strings), dtype=np.int32))
 
     def of(self, strings: pa.Array) -> np.ndarray:
         """Their numbers, -1 for unknown ones."""
@@ -86,6 +86,9 @@ class Tokens:
         self.pieces = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.tok = Tokenizer.from_file(path)
         self.vocab = self.tok.get_vocab_size()
+        self.bytes = np.zeros(self.vocab, np.int64)  # a byte-level token has a character for each byte
+        for token, number in self.tok.get_vocab().items():
+            self.bytes[number] = len(token)
         ends = self.whole(["\n", "a\n b\nc"])
         self.line_end = ends[0][0] if ends[0] else -1
         self.pieces = self.pieces and len(ends[0]) == 1 and ends[1].count(self.line_end) == 2
@@ -100,7 +103,7 @@ class Tokens:
     def clear(self) -> None:
         """An empty store, in which number 0 has no ids."""
         self.spaced, self.plain = Index(), Index()
-        self.flat, self.start, self.length = np.zeros(1 << 20, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.flat, self.start, self.length = np.zeros(1 << 20, np.uint32), np.zeros(1, np.int32), np.zeros(1, np.int32)
         self.filled = 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
@@ -118,23 +121,33 @@ class Tokens:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.filled : self.filled + len(ids)] = ids
         first = len(self.start)
-        self.start = np.concatenate([self.start, self.filled + np.cumsum(sizes) - sizes])
-        self.length = np.concatenate([self.length, sizes])
+        self.start = np.concatenate([self.start, (self.filled + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.length = np.concatenate([self.length, sizes.astype(np.int32)])
         self.filled += len(ids)
         index.extend(new, first)
         at[missing] = np.arange(first, first + len(new))
         return at
 
     def _encode_new(self, strings: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
-        """Many pieces in one text, a line end between each two, which no piece holds and which the tokenizer keeps to itself."""
+        """Many pieces in one text, with a line end between each two where they have no space, which the tokenizer keeps to itself.
+
+        No token reaches over a space's start or a line end, so the tokens' lengths in bytes tell the pieces apart.
+        """
         ids, sizes = [], []
         for lo in range(0, len(strings), 4096):
             part = strings[lo : lo + 4096]
-            got = np.array(self.tok.encode_batch_fast([space + ("\n" + space).join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.append(np.flatnonzero(got == self.line_end), len(got))
-            if len(ends) == len(part):
-                ids.append(got[got != self.line_end])
-                sizes.append(np.diff(ends, prepend=-1) - 1)
+            got = np.array(self.tok.encode_batch_fast([space + (space or "\n").join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            # a byte for the space before each, or for the line end before each but the first
+            ends = np.cumsum([len(x.encode()) for x in part]) + np.arange(len(part)) + len(space)
+            reach = np.cumsum(self.bytes[got])
+            at = np.searchsorted(reach, ends)
+            if len(got) and at[-1] == len(got) - 1 and (reach[at] == ends).all():
+                counts = np.diff(at, prepend=-1)
+                if not space:  # the line ends go
+                    got = np.delete(got, at[:-1] + 1)
+                    counts[1:] -= 1
+                ids.append(got)
+                sizes.append(counts)
             else:  # pragma: no cover  another vocabulary
                 each = self.whole([space + x for x in part])
                 ids.append(np.fromiter(chain.from_iterable(each), np.uint32))
@@ -159,7 +172,7 @@ class Tokens:
             runs, back = np.unique(run, return_inverse=True)
             marks = pa.array([int(x).to_bytes(8, "little").rstrip(b"\0").decode() for x in runs], pa.large_string())
             both[rows, 1] = self._numbers(marks, self.plain, "")[back]
-        return _gather(self.flat, self.start, self.length, both.ravel()), self.length[both].sum(1)
+        return _gather(self.flat, self.start, self.length, both.ravel())[0], self.length[both].sum(1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number for each text."""
@@ -183,26 +196,21 @@ class Tokens:
         odd = pc.or_(pc.equal(size, 0), pc.not_equal(size, pc.binary_length(pc.utf8_trim_whitespace(words)))).to_numpy(zero_copy_only=False)
         firsts = piece_at[:-1]
         heads, back = np.unique(codes[firsts], return_inverse=True)
-        spaced = self._words(words, odd, self.spaced, " ")
-        plain = self._words(words.take(pa.array(heads)), odd[heads], self.plain, "")
-        # what stands in this text: words after a space, words at the start of a line, the line end
-        flat = np.concatenate([spaced[0], plain[0], [self.line_end]]).astype(np.uint32)
-        length = np.concatenate([spaced[1], plain[1], [1]])
-        start = np.cumsum(length) - length
-        which = codes.astype(np.int64)
-        which[firsts] = len(words) + back
-        odd = odd[codes]
-        # a line end before every line but a text's first
-        inner = np.ones(len(firsts), bool)
-        inner[line_at[:-1]] = False
-        which = np.insert(which, firsts[inner], len(length) - 1)
-        moved = firsts + np.cumsum(inner) - inner
-        text_at = moved[line_at[:-1]]
-        odd = np.insert(odd, firsts[inner], False)
-        bad = np.add.reduceat(odd, text_at) > 0
+        flat, length = self._words(words, odd, self.spaced, " ")
+        head_flat, head_length = self._words(words.take(pa.array(heads)), odd[heads], self.plain, "")
+        # what stands in this portion: words after a space, words at a text's start, and after a line end, with it
+        ended = np.insert(head_flat, np.cumsum(head_length) - head_length, self.line_end)
+        flat = np.concatenate([flat, head_flat, ended])
+        length = np.concatenate([length, head_length, head_length + 1]).astype(np.int32)
+        start = np.cumsum(length, dtype=np.int32) - length
+        inner = np.ones(len(firsts), np.int32)
+        inner[line_at[:-1]] = 0
+        bad = np.add.reduceat(odd[codes], firsts[line_at[:-1]]) > 0
         bad &= pc.binary_length(texts).to_numpy() > 0  # an empty text is its one, empty piece
-        n = np.add.reduceat(length[which], text_at)
-        ids = _gather(flat, start, length, which)
+        codes = codes.copy()
+        codes[firsts] = len(words) + back + len(heads) * inner
+        ids, ends = _gather(flat, start, length, codes)
+        n = np.diff(ends[np.append(firsts[line_at[1:-1]], len(codes)) - 1], prepend=0)
         again = np.flatnonzero(bad)
         if len(again):
             bounds = np.concatenate([[0], np.cumsum(n)])
@@ -215,12 +223,15 @@ class Tokens:
         return ids, n
 
 
-def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:
+def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches one after the other, and where each ends."""
     n = length[which]
-    ends = np.cumsum(n)
-    place = np.arange(int(ends[-1]) if len(ends) else 0)
-    place += np.repeat(start[which] - ends + n, n)
-    return flat[place]
+    ends = np.cumsum(n, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    place = np.repeat((start[which] - ends + n).astype(kind), n)
+    place += np.arange(total, dtype=kind)
+    return flat[place], ends
 
 
 def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
