@@ -114,7 +114,7 @@ def encode(ids: np.ndarray, vocab: int) -> np.ndarray:
     low, rng = np.zeros(lanes, U), np.full(lanes, ~U(0), U)
     words, place = np.zeros((3 * steps + 8) * lanes, np.uint16), np.arange(lanes)  # the lanes' next words, `lanes` apart
     last, before = np.full(lanes, vocab, np.int64), np.full(lanes, vocab, np.int64)
-    order = [np.zeros(0, np.int64)]
+    order = [np.zeros(0, I32)]
     for t in range(steps):
         a = _rows(n, lanes, steps, t)
         if not a:
@@ -140,7 +140,7 @@ def encode(ids: np.ndarray, vocab: int) -> np.ndarray:
         while len(todo):
             lo, at = low[todo], place[todo]
             words[at] = lo >> U(48)
-            order.append(at)
+            order.append(at.astype(I32))
             place[todo] = at + lanes
             low[todo] = lo << U(16)
             wide = rng[todo] << U(16)
@@ -154,7 +154,7 @@ def encode(ids: np.ndarray, vocab: int) -> np.ndarray:
         low <<= U(16)
         place += lanes
     # the decoder is four words ahead
-    return np.concatenate([words[: 4 * lanes], words.take(np.concatenate(order) + 4 * lanes)])
+    return np.concatenate([words[: 4 * lanes], words.take(np.concatenate(order) + I32(4 * lanes))])
 
 
 def decode(words: np.ndarray, n: int, vocab: int) -> np.ndarray:

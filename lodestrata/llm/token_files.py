@@ -17,6 +17,7 @@ parts are in the order of the documents.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -35,9 +36,9 @@ from .common import new_path, shuffle_partitions, tidy
 MAGIC = b"LSTB"
 BLOCK_IDS = 1 << 21
 #: Bytes of text encoded together.
-PORTION = 6 << 20
+PORTION = 4 << 20
 #: Strings kept by a Python worker with their ids; beyond it the store is emptied.
-MEMO = 1_000_000
+MEMO = 400_000
 
 #: Marks, a run of which a byte-level tokenizer cuts off the letters before it.
 MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
@@ -76,19 +77,15 @@ class Tokens:
     _of: dict[str, Tokens] = {}
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            kind = json.load(f)
-        pre = kind.get("pre_tokenizer") or {}
-        self.pieces = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.tok = Tokenizer.from_file(path)
+        pre = json.loads(self.tok.pre_tokenizer.__getstate__()) if self.tok.pre_tokenizer else {}
+        self.pieces = self.tok.normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.vocab = self.tok.get_vocab_size()
         self.bytes = np.zeros(self.vocab, np.int64)  # a byte-level token has a character for each byte
-        for token, number in self.tok.get_vocab().items():
-            self.bytes[number] = len(token)
+        for k in range(self.vocab):
+            self.bytes[k] = len(self.tok.id_to_token(k) or "")
         ends = self.whole(["\n", "a\n b\nc"])
         self.line_end = ends[0][0] if ends[0] else -1
         self.pieces = self.pieces and len(ends[0]) == 1 and ends[1].count(self.line_end) == 2
