@@ -69,7 +69,7 @@ class Model:
 
     def learn(self, x, last, h, s1, s2, p1, p2, row, w0, m1, m2) -> None:
         e1, e2 = x == p1, x == p2
-        weigh = self.step < 32 or self.step % 4 == 0  # later on a quarter of the ids tells enough
+        weigh = self.step < 32 or self.step % 8 == 0  # later on an eighth of the ids tells enough
         hit = np.flatnonzero(e1 | e2) if weigh else ()
         if len(hit):
             y, at = x[hit], row[hit]
@@ -88,7 +88,7 @@ class Model:
         self.seen.append(x)
         self.step += 1
         if self.step == self.next:
-            self.next = min(self.next * 2, self.next + 32)
+            self.next = min(self.next * 2, self.next + 48)
             self.rebuild()
 
 
