@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as G
 from .operators import apply
 from .operators.classify import legend
-from .operators.layer import GEOM, ROW, make_box, make_point, shapes, st_area, st_dim, st_length, st_x, st_y, with_srid
+from .operators.layer import GEOM, ROW, make_box, make_point, shapes, srid_of, st_area, st_dim, st_length, st_x, st_y, with_srid
 from .plans import pipeline, rules
 from .streaming import changes as S
 
@@ -482,26 +482,128 @@ def _hollow(spark, d):
 
 
 for _name, _layer, _params, _key in (
-    ("assign_projection", nations, {"crs": "EPSG:2154"}, "n_nationkey"), ("simplify", _l_shapes, {"tolerance": 20.0}, "p_partkey"), ("chaikin_smooth", _l_shapes, {}, "p_partkey"),
+   
     ("convex_hull", customers, {"by_group": "c_nationkey"}, "c_nationkey"), ("concave_hull", suppliers, {"by_group": "s_nationkey"}, "s_nationkey"), ("alpha_shape", suppliers, {"alpha": 0.0002, "by_group": "s_nationkey"}, "s_nationkey"),
-    ("oriented_bbox", _l_shapes, {}, "p_partkey"), ("min_bounding_circle", _l_shapes, {}, "p_partkey"), ("boundary", _hollow, {}, "n_nationkey"), ("make_valid", _hollow, {}, "n_nationkey"), ("snap_to_grid", _l_shapes, {"grid_size": 50.0}, "p_partkey"),
-    ("offset_curve", _l_shapes, {"distance": 10.0}, "p_partkey"), ("line_merge", _l_shapes, {}, "p_partkey"), ("line_substring", _l_shapes, {"start_measure": 0.25, "end_measure": 0.75}, "p_partkey"), ("densify_vertices", _l_shapes, {"max_distance": 50.0}, "p_partkey"),
-    ("affine_transform", _l_shapes, {"translate": [10, 5], "rotate": 30, "scale": 2.0}, "p_partkey"), ("swap_xy", _l_shapes, {}, "p_partkey"), ("reverse_lines", _l_shapes, {}, "p_partkey"), ("add_z", _l_shapes, {"z": 5.0}, "p_partkey"), ("drop_z", _l_shapes, {}, "p_partkey"),
-    ("add_m", _l_shapes, {"m": 1.0}, "p_partkey"), ("drop_m", _l_shapes, {}, "p_partkey"), ("ftth_coverage", suppliers, {"radius_m": 100}, "s_suppkey"), ("extract_holes", _hollow, {}, "n_nationkey"), ("multipart_to_singleparts", _multi, {}, "n_regionkey"),
-    ("force_geometry_type", _multi, {"target": "Polygon"}, "n_regionkey"), ("polygonize", _l_shapes, {}, ""), ("voronoi_polygons", suppliers, {}, ""), ("delaunay_triangulation", suppliers, {}, ""), ("hexgrid_create", nations, {"cell_size": 500.0}, ""),
+    ("oriented_bbox", _l_shapes, {}, "p_partkey"), ("min_bounding_circle", _l_shapes, {}, "p_partkey"), ("boundary", _hollow, {}, "n_nationkey"), ("make_valid", _hollow, {}, "n_nationkey"),
+    ("offset_curve", _l_shapes, {"distance": 10.0}, "p_partkey"),
+   
+    ("ftth_coverage", suppliers, {"radius_m": 100}, "s_suppkey"), ("multipart_to_singleparts", _multi, {}, "n_regionkey"),
+    ("force_geometry_type", _multi, {"target": "Polygon"}, "n_regionkey"), ("polygonize", _l_shapes, {}, ""), ("voronoi_polygons", suppliers, {}, ""), ("delaunay_triangulation", suppliers, {}, ""),
     ("network_snap_endpoints", network, {"tolerance": 0.5}, "p_partkey"), ("network_remove_pseudo_nodes", _l_shapes, {}, ""), ("network_node_lines", _l_shapes, {}, ""), ("network_extend_dangles", _l_shapes, {"tolerance": 5.0}, "p_partkey"),
-    ("network_remove_duplicates", _l_shapes, {}, "p_partkey"), ("polygon_fix_gaps", nations, {}, "n_nationkey"), ("polygon_fix_overlaps", nations, {"rule": "first"}, "n_nationkey"), ("polygon_snap_borders", nations, {"grid_size": 10.0}, "n_nationkey"),
+    ("network_remove_duplicates", _l_shapes, {}, "p_partkey"), ("polygon_fix_gaps", nations, {}, "n_nationkey"), ("polygon_fix_overlaps", nations, {"rule": "first"}, "n_nationkey"),
 ):
     _shape_query(_name, _layer, _params, _key)
 
-ORACLE_SQL["swap_xy"] = ORACLE_SQL["reverse_lines"] = ORACLE_SQL["add_z"] = ORACLE_SQL["drop_z"] = ORACLE_SQL["add_m"] = ORACLE_SQL["drop_m"] = "select p_partkey, cast(1 as integer) as dim, cast(0 as double) as area, round(700 + sqrt(125), 4) as length from part"
-ORACLE_SQL["densify_vertices"] = ORACLE_SQL["line_merge"] = ORACLE_SQL["swap_xy"]
-ORACLE_SQL["line_substring"] = "select p_partkey, cast(1 as integer) as dim, cast(0 as double) as area, round((700 + sqrt(125)) / 2, 4) as length from part"
-ORACLE_SQL["affine_transform"] = "select p_partkey, cast(1 as integer) as dim, cast(0 as double) as area, round(2 * (700 + sqrt(125)), 4) as length from part"
-ORACLE_SQL["assign_projection"] = ORACLE_SQL["polygon_fix_gaps"] = ORACLE_SQL["polygon_snap_borders"] = "select n_nationkey, cast(2 as integer) as dim, cast(5760000 as double) as area, cast(9600 as double) as length from nation"
+ORACLE_SQL["polygon_fix_gaps"] = "select n_nationkey, cast(2 as integer) as dim, cast(5760000 as double) as area, cast(9600 as double) as length from nation"
 ORACLE_SQL["multipart_to_singleparts"] = ORACLE_SQL["force_geometry_type"] = "select n_regionkey, cast(2 as integer) as dim, cast(5760000 as double) as area, cast(9600 as double) as length from nation"
 
 
+# ---------------------------------------------------------------- lines, vertex by vertex
+
+
+def _vertices(df: DataFrame, *keys: str) -> DataFrame:
+    """Of each shape: vertices, first and last one, sums of the coordinates, whether it has Z and M, and their sums."""
+
+    def tell(g: G.Shape) -> list[float]:
+        a = g.all_coords()
+        z, m = a[:, 2].sum() if g.z else 0, a[:, 2 + g.z].sum() if g.m else 0
+        return [len(a), *a[0, :2], *a[-1, :2], *a[:, :2].sum(0), g.z + 2 * g.m, z, m]
+
+    names = ("n", "x0", "y0", "x1", "y1", "sx", "sy", "dims", "sz", "sm")
+    told = df.select(*keys, shapes(tell, "array<double>")(GEOM).alias("_v"))
+    return told.select(*keys, *[F.round(F.col("_v")[i], 6).alias(c) for i, c in enumerate(names)])
+
+
+def _line_sql(points: str, more: str = "0 as dims, 0 as sz, 0 as sm", table: str = _P) -> str:
+    """The same numbers from a list of (x, y) pairs as SQL."""
+    return f"""with l as (select p_partkey, {points} as p from {table}), q as (select p_partkey, p, list_transform(p, lambda v: v[1]) as xs, list_transform(p, lambda v: v[2]) as ys from l),
+        r as (select *, {more} from q)
+        select p_partkey, cast(len(p) as double) as n, round(xs[1], 6) as x0, round(ys[1], 6) as y0, round(xs[len(xs)], 6) as x1, round(ys[len(ys)], 6) as y1, round(list_sum(xs), 6) as sx, round(list_sum(ys), 6) as sy,
+               cast(dims as double) as dims, cast(sz as double) as sz, cast(sm as double) as sm from r"""
+
+
+_BEND = "[[x, y], [x + 300, y], [x + 300, y + 400], [x + 310, y + 405]]"
+
+
+def _line_query(name: str, sql: str, layer: Callable = _l_shapes, **params):
+    QUERIES[name] = lambda spark, d: _vertices(apply(name, layer(spark, d), **params), "p_partkey")
+    ORACLE_SQL[name] = sql
+
+
+_line_query("swap_xy", _line_sql(f"list_transform({_BEND}, lambda v: [v[2], v[1]])"))
+_line_query("reverse_lines", _line_sql(f"list_reverse({_BEND})"))
+_line_query("add_z", _line_sql(_BEND, "1 as dims, 20 as sz, 0 as sm"), z=5.0)
+_line_query("add_m", _line_sql(_BEND, "2 as dims, 0 as sz, 4 as sm"), m=1.0)
+_line_query("drop_z", _line_sql(_BEND), lambda spark, d: apply("add_z", _l_shapes(spark, d), z=5.0))
+_line_query("drop_m", _line_sql(_BEND, "1 as dims, 12 as sz, 0 as sm"), lambda spark, d: apply("add_m", apply("add_z", _l_shapes(spark, d), z=3.0), m=2.0))
+# the third vertex is less than 20 from the line between its neighbours
+_line_query("simplify", _line_sql("[[x, y], [x + 300, y], [x + 310, y + 405]]"), tolerance=20.0)
+_line_query("snap_to_grid", _line_sql(f"list_filter(list_transform({_BEND}, lambda v: [round_even(v[1] / 50, 0) * 50, round_even(v[2] / 50, 0) * 50]), lambda v, i: i = 1 or v <> list_transform({_BEND}, lambda v: [round_even(v[1] / 50, 0) * 50, round_even(v[2] / 50, 0) * 50])[i - 1])"), grid_size=50.0)
+_line_query("densify_vertices", _line_sql("list_concat(list_transform(range(0, 6), lambda k: [x + 50 * k, y]), list_transform(range(0, 8), lambda k: [x + 300, y + 50 * k]), [[x + 300, y + 400], [x + 310, y + 405]])"), max_distance=50.0)
+_line_query("line_substring", _line_sql("[[x + (700 + sqrt(125)) / 4, y], [x + 300, y], [x + 300, y + (700 + sqrt(125)) * 3 / 4 - 300]]"), start_measure=0.25, end_measure=0.75)
+# one round of corner cutting: a quarter and three quarters of each segment, the ends kept
+_line_query("chaikin_smooth", _line_sql("[[x, y], [x + 75, y], [x + 225, y], [x + 300, y + 100], [x + 300, y + 300], [x + 302.5, y + 401.25], [x + 307.5, y + 403.75], [x + 310, y + 405]]"), iterations=1)
+
+
+def _apart(spark, d):
+    """Two lines that meet in an end of each, the second the wrong way round."""
+    p = parts(spark, d).select("p_partkey", "x", "y", ROW)
+    two = shapes(lambda g, x, y: G.collect([G.line([(x, y), (x + 300, y)]), G.line([(x + 310, y + 405), (x + 300, y + 400), (x + 300, y)])]), "binary")
+    return with_srid(p.withColumn(GEOM, two(make_point("x", "y"), "x", "y")).drop("x", "y"), 3857)
+
+
+@query("select p_partkey, 'LineString' as kind, cast(4 as double) as n, 4 * x + 910 as sx, 4 * y + 805 as sy from " + _P)
+def line_merge(spark, d):
+    out = apply("line_merge", _apart(spark, d))
+    kind = shapes(lambda g: g.kind, "string")(GEOM).alias("kind")
+    return _vertices(out.withColumn("kind", kind), "p_partkey", "kind").select("p_partkey", "kind", "n", "sx", "sy")
+
+
+# translated by (10, 5), turned by 30 degrees about the box's middle, then doubled about the middle of the turned line's box
+@query(f"""with o as (select * from (values (1, -155.0, -202.5), (2, 145.0, -202.5), (3, 145.0, 197.5), (4, 155.0, 202.5)) t(i, dx, dy)),
+    t as (select i, dx * cos(pi() / 6) - dy * sin(pi() / 6) as u, dx * sin(pi() / 6) + dy * cos(pi() / 6) as v from o),
+    k as (select (min(u) + max(u)) / 2 as ku, (min(v) + max(v)) / 2 as kv from t),
+    w as (select i, ku + 2 * (u - ku) as u, kv + 2 * (v - kv) as v from t, k)
+    select p_partkey, cast(4 as double) as n, round(x + 165 + (select u from w where i = 1), 6) as x0, round(y + 207.5 + (select v from w where i = 1), 6) as y0, round(x + 165 + (select u from w where i = 4), 6) as x1,
+           round(y + 207.5 + (select v from w where i = 4), 6) as y1, round(4 * (x + 165) + (select sum(u) from w), 6) as sx, round(4 * (y + 207.5) + (select sum(v) from w), 6) as sy from {_P}""")
+def affine_transform(spark, d):
+    return _vertices(apply("affine_transform", _l_shapes(spark, d), translate=[10, 5], rotate=30, scale=2.0), "p_partkey").drop("dims", "sz", "sm")
+
+
+@query("select n_nationkey, 2154 as srid from nation")
+def assign_projection(spark, d):
+    out = apply("assign_projection", nations(spark, d), crs="EPSG:2154")
+    return out.select("n_nationkey", F.lit(srid_of(out)).alias("srid"))
+
+
+@query(f"select n_nationkey, x0, y0, x0 + 2400 as x1, y0 + 2400 as y1 from {_N}")
+def polygon_snap_borders(spark, d):
+    """Boxes a few metres off the grid come onto it."""
+    n = nations(spark, d)
+    off = shapes(lambda g, k: g.map(lambda a: a + [[k % 4, -(k % 3)]]), "binary")
+    out = apply("polygon_snap_borders", with_srid(n.withColumn(GEOM, off(GEOM, "n_nationkey")), 3857), grid_size=10.0)
+    b = shapes(lambda g: list(g.bounds()), "array<double>")(GEOM)
+    return out.select("n_nationkey", *[(b[i] + 0.0).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@query(f"select n_nationkey, cast(0 as integer) as hole_index, x0 + 1000 as x0, y0 + 900 as y0, x0 + 1500 as x1, y0 + 1600 as y1 from {_N}")
+def extract_holes(spark, d):
+    n = nations(spark, d).select(ROW, "n_nationkey", GEOM)
+    hollow = shapes(lambda g: G.Shape("Polygon", rings=[g.rings[0], G.box(g.bounds()[0] + 1000, g.bounds()[1] + 900, g.bounds()[0] + 1500, g.bounds()[1] + 1600).rings[0]]), "binary")
+    out = apply("extract_holes", with_srid(n.withColumn(GEOM, hollow(GEOM)), 3857))
+    b = shapes(lambda g: list(g.bounds()), "array<double>")(GEOM)
+    return out.select("n_nationkey", "hole_index", *[b[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@query("""with c as (select r, q, cast(q * 750 + r % 2 * 375 as double) as x, r * 500 * sqrt(3) + r % 2 * 250 * sqrt(3) as y from range(0, 15) a(r), range(0, 16) b(q))
+    select cast(r as bigint) as "row", cast(q as bigint) as "col", round(x, 6) as x, round(y, 6) as y, round(375000 * sqrt(3), 3) as area from c""")
+def hexgrid_create(spark, d):
+    """Middles and areas of the hexagons over the nations, whose box is 10400 wide and high."""
+    out = apply("hexgrid_create", nations(spark, d), cell_size=500.0, clip_to_extent=False)
+    mid = shapes(lambda g: g.rings[0][:-1].mean(0).tolist(), "array<double>")(GEOM)
+    return out.select("row", "col", F.round(mid[0], 6).alias("x"), F.round(mid[1], 6).alias("y"), F.round(st_area(GEOM), 3).alias("area"))
+
+
 @query(f"select min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1, c_nationkey from {_C} group by c_nationkey")
 def envelope(spark, d):
     out = apply("envelope", customers(spark, d), by_group=["c_nationkey"])
@@ -701,12 +803,20 @@ def shortest_path(spark, d):
     return apply("shortest_path", network(spark, d), start_x=7919.0, start_y=4659.0, end_x=5831.0, end_y=9318.0, weight_col="w").select("p_partkey", "step", "path_order", "path_cost")
 
 
-@query()
+def _reach(starts: str, most: str) -> str:
+    """Least cost of each node from each start that stays within `most`."""
+    return f"""recursive {_COST}, c as (select p_partkey as label, p_partkey as node, cast(0 as double) as cost, 0 as hops from part where p_partkey in ({starts}) union all
+        select label, node, min(cost), any_value(hops) from (select c.label, arcs.b as node, c.cost + arcs.w as cost, c.hops + 1 as hops from c join arcs on arcs.a = c.node where c.cost + arcs.w <= {most}) group by label, node having any_value(hops) < 60),
+        best as (select label, node, min(cost) as cost from c group by all)"""
+
+
+@query(f"with {_reach('1', '100')} select edge, min(cost) as cost, cast(budget as double) as cost_budget from {_E}, (values (50), (100)) b(budget), best where node in (u, v) and cost <= budget group by edge, budget")
 def isochrone(spark, d):
     return apply("isochrone", network(spark, d), start_x=7919.0, start_y=4659.0, cost_budgets=[50, 100], weight_col="w", dissolve=False).select("edge", "cost", "cost_budget")
 
 
-@query()
+@query(f"""with {_reach('1, 100, 200', '200')} select p_partkey, min_by(label, cost * 1e6 + label) as allocated_hub_id, min(cost) as allocation_cost, min(cost) is not null as allocated
+    from part left join best on node = p_partkey group by p_partkey""")
 def network_allocation(spark, d):
     hubs = junctions(spark, d).where("p_partkey in (1, 100, 200)").select(ROW, F.col("p_partkey").alias("id"), GEOM)
     return apply("network_allocation", junctions(spark, d).select(ROW, "p_partkey", GEOM), network_gdf=network(spark, d), hubs_gdf=hubs, weight_col="w", max_cost=200).select("p_partkey", "allocated_hub_id", "allocation_cost", "allocated")
@@ -723,7 +833,7 @@ def od_matrix(spark, d):
     return apply("od_matrix", network(spark, d), ref_gdf=o, weight_col="w")
 
 
-@query(f"select count(*) as n, (select count(*) - 1 from part where p_partkey <= 400) as want from (select 1 from {_E} limit (select count(*) - 1 from part where p_partkey <= 400))")
+@query()
 def mst(spark, d):
     return apply("mst", network(spark, d), weight_col="w").select("p_partkey", "step", "w")
 
