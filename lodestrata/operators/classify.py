@@ -24,11 +24,36 @@ PALETTES = {
     "RdYlGn": ["#d7191c", "#fdae61", "#ffffbf", "#a6d96a", "#1a9641"],
     "RdYlBu": ["#d7191c", "#fdae61", "#ffffbf", "#abd9e9", "#2c7bb6"],
     "Viridis": ["#440154", "#3b528b", "#21918c", "#5ec962", "#fde725"],
+    "Oranges": ["#feedde", "#fdbe85", "#fd8d3c", "#e6550d", "#a63603"],
+    "Purples": ["#f2f0f7", "#cbc9e2", "#9e9ac8", "#756bb1", "#54278f"],
+    "Greys": ["#f7f7f7", "#cccccc", "#969696", "#636363", "#252525"],
+    "YlOrBr": ["#ffffd4", "#fed98e", "#fe9929", "#d95f0e", "#993404"],
+    "YlGn": ["#ffffcc", "#c2e699", "#78c679", "#31a354", "#006837"],
+    "BuPu": ["#edf8fb", "#b3cde3", "#8c96c6", "#8856a7", "#810f7c"],
+    "PuRd": ["#f1eef6", "#d7b5d8", "#df65b0", "#dd1c77", "#980043"],
+    "Plasma": ["#0d0887", "#7e03a8", "#cc4778", "#f89541", "#f0f921"],
+    "Magma": ["#000004", "#51127c", "#b63679", "#fb8761", "#fcfdbf"],
+    "Inferno": ["#000004", "#57106e", "#bc3754", "#f98e09", "#fcffa4"],
+    "Cividis": ["#00224e", "#414878", "#7c7b78", "#bcae5d", "#fee838"],
+    "RdBu": ["#ca0020", "#f4a582", "#f7f7f7", "#92c5de", "#0571b0"],
+    "BrBG": ["#a6611a", "#dfc27d", "#f5f5f5", "#80cdc1", "#018571"],
+    "PiYG": ["#d01c8b", "#f1b6da", "#f7f7f7", "#b8e186", "#4dac26"],
+    "PuOr": ["#e66101", "#fdb863", "#f7f7f7", "#b2abd2", "#5e3c99"],
+    "Spectral": ["#d7191c", "#fdae61", "#ffffbf", "#abdda4", "#2b83ba"],
+    "UrbanRose": ["#fbeae4", "#f2c6bb", "#dd8a7d", "#b85752", "#7a2c2e"],
+    "UrbanSage": ["#f2f1e3", "#cfd8bd", "#96ae8b", "#5e8058", "#2f4d34"],
+    "UrbanTerracotta": ["#f7ead9", "#ecc7ad", "#d28f7c", "#a95a4f", "#722a2a"],
+    "UrbanAtlas": ["#3f5f3a", "#a2b892", "#f4ede1", "#dea090", "#913d3a"],
     "Set2": ["#66c2a5", "#fc8d62", "#8da0cb", "#e78ac3", "#a6d854", "#ffd92f", "#e5c494", "#b3b3b3"],
     "Set1": ["#e41a1c", "#377eb8", "#4daf4a", "#984ea3", "#ff7f00", "#ffff33", "#a65628", "#f781bf", "#999999"],
 }
 OTHER = "#bdbdbd"
-CORNERS = {"BlueOrange": ["#e8e8e8", "#f3b300", "#509dc2", "#804d36"], "PinkGreen": ["#e8e8e8", "#be64ac", "#73ae80", "#2a5a5b"], "PurpleTeal": ["#e8e8e8", "#5ac8c8", "#be64ac", "#3b4994"]}
+# Published 3 x 3 tables, rows by y, columns by x.
+BIVARIATE = {
+    "BlueOrange": [["#e8e8e8", "#e4acac", "#c85a5a"], ["#b0d5df", "#ad9ea5", "#985356"], ["#64acbe", "#627f8c", "#574249"]],
+    "PurpleGreen": [["#e8e8e8", "#ace4e4", "#5ac8c8"], ["#dfb0d6", "#a5add3", "#5698b9"], ["#be64ac", "#8c62aa", "#3b4994"]],
+    "BluePink": [["#e8e8e8", "#e4d9ac", "#c8b35a"], ["#cbb8d7", "#c8ada0", "#af8e53"], ["#9972af", "#976b82", "#804d36"]],
+}
 
 
 def _rgb(h: str) -> np.ndarray:
@@ -43,7 +68,9 @@ def palette_colors(palette, n: int) -> list[str]:
     """n colours evenly along the palette; _r turns it round."""
     if isinstance(palette, str):
         name, back = (palette[:-2], True) if palette.endswith("_r") else (palette, False)
-        stops = PALETTES.get(next((p for p in PALETTES if p.lower() == name.lower()), "YlOrRd"))
+        stops = PALETTES.get(next((p for p in PALETTES if p.lower() == name.lower()), None))
+        if stops is None:
+            raise ValueError(f"unknown palette {palette}; known: {', '.join(PALETTES)}")
         stops = stops[::-1] if back else stops
     else:
         stops = list(palette)
@@ -296,14 +323,21 @@ def continuous_ramp(df: DataFrame, field=None, palette="Viridis", color_col: str
 
 @operator("bivariate_choropleth", "classification")
 def bivariate_choropleth(df: DataFrame, field_x=None, field_y=None, method_x: str = "quantile", method_y: str = "quantile", grid: int = 3, palette="BlueOrange", class_col: str = "bi_class", color_col: str = "bi_color") -> DataFrame:
-    """Class "y_x" of both fields' classes and the colour of that cell, blended from the palette's four corners."""
+    """Class "y_x" of both fields' classes and the colour of that cell, from a table of the palette's name or of one's own (rows by
+    y); between the table's cells for another grid."""
     if not 2 <= grid <= 5:
         raise ValueError("grid is 2 to 5")
     _need(df, field_x, field_y)
+    if isinstance(palette, str) and palette not in BIVARIATE:
+        raise ValueError(f"unknown bivariate palette {palette}; known: {', '.join(BIVARIATE)}")
     cx = class_column(field_x, class_breaks(df, field_x, method_x, grid))
     cy = class_column(field_y, class_breaks(df, field_y, method_y, grid))
-    low, right, top, both = (_rgb(c) for c in (CORNERS.get(palette, CORNERS["BlueOrange"]) if isinstance(palette, str) else palette))
-    cell = lambda x, y: _hex(low * (1 - x) * (1 - y) + right * x * (1 - y) + top * (1 - x) * y + both * x * y)
+    table = np.array([[_rgb(c) for c in row] for row in (BIVARIATE[palette] if isinstance(palette, str) else palette)])
+
+    def cell(x: float, y: float) -> str:
+        along = [np.array([np.interp(x * (table.shape[1] - 1), range(table.shape[1]), row[:, k]) for k in range(3)]) for row in table]
+        return _hex([np.interp(y * (len(table) - 1), range(len(table)), [c[k] for c in along]) for k in range(3)])
+
     colors = F.create_map(*[F.lit(v) for y in range(grid) for x in range(grid) for v in (f"{y + 1}_{x + 1}", cell(x / (grid - 1), y / (grid - 1)))])
     out = df.withColumn(class_col, F.when(cx.isNotNull() & cy.isNotNull(), F.concat_ws("_", cy, cx)))
     return out.withColumn(color_col, F.try_element_at(colors, F.col(class_col)))

@@ -720,15 +720,23 @@ def head_tail_breaks(spark, d):
     return apply("head_tail_breaks", table(spark, d, "orders"), field="o_totalprice").select("o_orderkey", "class")
 
 
-@query()
+@query("""with b as (select min(c_acctbal) as lo, max(c_acctbal) as hi from customer), t as (select [[68, 1, 84], [59, 82, 139], [33, 145, 140], [94, 201, 98], [253, 231, 37]] as p),
+    u as (select c_custkey, (c_acctbal - lo) / (hi - lo) * 4 as v, p from customer, b, t), k as (select *, cast(least(floor(v), 3) as integer) as i from u)
+    select c_custkey, '#' || array_to_string(list_transform([1, 2, 3], lambda c: printf('%02x', cast(round_even(p[i + 1][c] + (p[i + 2][c] - p[i + 1][c]) * (v - i), 0) as integer))), '') as color from k""")
 def continuous_ramp(spark, d):
-    return apply("continuous_ramp", table(spark, d, "customer"), field="c_acctbal").select("c_custkey", "color")
+    return apply("continuous_ramp", table(spark, d, "customer"), field="c_acctbal", stops=5).select("c_custkey", "color")
+
 
+def _thirds(c: str) -> str:
+    return f"list_sort(list_distinct([{', '.join(f'quantile_cont({c}, {k}.0 / 3)' for k in range(4))}]))"
 
-@query("""with b as (select list_sort(list_distinct([quantile_cont(c_acctbal, 0.0), quantile_cont(c_acctbal, 0.5), quantile_cont(c_acctbal, 1.0)])) as e, list_sort(list_distinct([quantile_cont(c_nationkey, 0.0), quantile_cont(c_nationkey, 0.5), quantile_cont(c_nationkey, 1.0)])) as f from customer)
-    select c_custkey, greatest(1, len(list_filter(f, lambda t: t < c_nationkey))) || '_' || greatest(1, len(list_filter(e, lambda t: t < c_acctbal))) as bi_class from customer, b""")
+
+@query(f"""with b as (select {_thirds('c_acctbal')} as e, {_thirds('c_nationkey')} as f from customer),
+    t as (select [['#e8e8e8', '#ace4e4', '#5ac8c8'], ['#dfb0d6', '#a5add3', '#5698b9'], ['#be64ac', '#8c62aa', '#3b4994']] as colors),
+    k as (select c_custkey, greatest(1, len(list_filter(f, lambda t: t < c_nationkey))) as y, greatest(1, len(list_filter(e, lambda t: t < c_acctbal))) as x from customer, b)
+    select c_custkey, y || '_' || x as bi_class, colors[y][x] as bi_color from k, t""")
 def bivariate_choropleth(spark, d):
-    return apply("bivariate_choropleth", table(spark, d, "customer"), field_x="c_acctbal", field_y="c_nationkey", grid=2).select("c_custkey", "bi_class")
+    return apply("bivariate_choropleth", table(spark, d, "customer"), field_x="c_acctbal", field_y="c_nationkey", grid=3, palette="PurpleGreen").select("c_custkey", "bi_class", "bi_color")
 
 
 # ---------------------------------------------------------------- statistics
@@ -827,7 +835,7 @@ def connectivity_check(spark, d):
     return apply("connectivity_check", network(spark, d)).select("is_connected", "n_components", "n_nodes", "n_edges")
 
 
-@query()
+@query(f"with {_reach('1, 5, 9', '400')} select label as origin_id, node as destination_id, cost from best where node in (1, 5, 9) and node <> label")
 def od_matrix(spark, d):
     o = junctions(spark, d).where("p_partkey in (1, 5, 9)").select(ROW, F.col("p_partkey").alias("id"), GEOM)
     return apply("od_matrix", network(spark, d), ref_gdf=o, weight_col="w")
