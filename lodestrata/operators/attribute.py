@@ -182,12 +182,18 @@ def attribute_prep(df: DataFrame, rename=None, drop=None, keep_only=None) -> Dat
     return select_columns(df, keep_only) if keep_only else df
 
 
+#: Columns that tags are made into.
+MOST_KEYS = 2_000
+
+
 @operator("osm_tag_extract", "projection")
 def osm_tag_extract(df: DataFrame, tags_column: str = "tags", extract_keys=None) -> DataFrame:
     """JSON tags to columns tag_<key>; without keys those that occur, sorted. Bad JSON gives nulls."""
     _need(df, tags_column)
     tags = F.col(tags_column) if dict(df.dtypes)[tags_column].startswith("map") else F.from_json(tags_column, "map<string,string>")
-    keys = _names(extract_keys) or sorted(r[0] for r in df.select(F.explode(F.map_keys(tags)).alias("k")).distinct().collect())
+    keys = _names(extract_keys) or sorted(r[0] for r in df.select(F.explode(F.map_keys(tags)).alias("k")).distinct().limit(MOST_KEYS + 1).collect())
+    if len(keys) > MOST_KEYS:
+        raise ValueError(f"{tags_column} has more than {MOST_KEYS} keys; name those that are wanted")
     return df.withColumns({f"tag_{k}": F.try_element_at(tags, F.lit(k)) for k in keys}) if keys else df
 
 

@@ -472,8 +472,14 @@ def force_geometry_type(df: DataFrame, target: str = "", on_multi: str = "explod
     return _split(src, f, "_part").drop("_part")
 
 
+#: Shapes of a layer that one task is given at once.
+MOST_TOGETHER = 500_000
+
+
 def _layer_shapes(df: DataFrame, f, name: str = "_g") -> DataFrame:
-    """f(all shapes) -> shapes, as rows: for results that depend on the whole layer, which one task holds."""
+    """f(all shapes) -> shapes, as rows: for results that depend on the whole layer, which one task holds; larger layers are refused."""
+    if df.limit(MOST_TOGETHER + 1).count() > MOST_TOGETHER:
+        raise ValueError(f"the result depends on the whole layer, which must not have more than {MOST_TOGETHER} shapes")
     all_ = df.where(F.col(GEOM).isNotNull()).agg(F.collect_list(GEOM).alias(name))
     out = all_.select(F.explode(many_list(f)(name)).alias(GEOM))
     return with_srid(out, srid_of(df))

@@ -96,17 +96,19 @@ def shortest_path(df: DataFrame, start_x: float = 0.0, start_y: float = 0.0, end
     b = snap_to_nodes(_start(df, end_x, end_y, srid_of(df)), e).first()["node"]
     spark = df.sparkSession
     best = cut(relax(_arcs(e), spark.createDataFrame([(0, a)], "label long, node string"), targets=spark.createDataFrame([(b,)], "node string")))
-    # back from the end, an edge a round
-    path, at = [], b
-    while at != a:
-        row = best.where(F.col("node") == at).select("back", "via", "cost").first()
-        if row is None or row[0] is None:
-            path = []
+    # back from the end: each round doubles the hops that a node's jump covers, and the part of the path that is known
+    jumps = best.where("back is not null").select("node", F.col("back").alias("to"))
+    known, hops = spark.createDataFrame([(b, 0)], "node string, back_hops long"), 1
+    while True:
+        more = known.join(jumps, "node").select(F.col("to").alias("node"), (F.col("back_hops") + hops).alias("back_hops"))
+        known, had = cut(known.unionByName(more)), hops
+        hops *= 2
+        if known.count() <= had:  # fewer than all hops so far led somewhere: the start is reached
             break
-        path.append((row[1], row[2]))
-        at = row[0]
-    rows = [(via, i, cost) for i, (via, cost) in enumerate(reversed(path))]
-    order = spark.createDataFrame(rows, "_edge long, path_order long, path_cost double")
+        jumps = cut(jumps.join(jumps.select(F.col("node").alias("to"), F.col("to").alias("_far")), "to").select("node", F.col("_far").alias("to")))
+    ends = known.agg(F.max("back_hops")).first()[0]
+    found = best.join(known, "node").where("via is not null")
+    order = found.select(F.col("via").alias("_edge"), (F.lit(ends) - F.col("back_hops") - 1).alias("path_order"), F.col("cost").alias("path_cost"))
     return with_srid(df.join(order, F.col(ROW) == F.col("_edge")).drop("_edge", ROW).orderBy("path_order"), srid_of(df))
 
 

@@ -180,6 +180,10 @@ def line_locate_point(df: DataFrame, ref_gdf=None, normalized: bool = False, mea
     return with_srid(out if had else out.drop(ROW), own)
 
 
+#: Values of rings that classes are made of.
+MOST_RINGS = 10_000
+
+
 @operator("classify_by_ring", "join")
 def classify_by_ring(df: DataFrame, ref_gdfs=None, ring_field: str = "cost_budget", outside_value: float = 99999.0, class_col: str = "ring_class", color_col: str = "ring_color", value_col: str = "ring_value", palette=None, use_centroid: bool = False, ring_simplify_tolerance: float = 0.0) -> DataFrame:
     """The smallest ring value among the rings a row touches (or its centroid lies in); class 1 is the smallest ring, outside is last."""
@@ -193,7 +197,9 @@ def classify_by_ring(df: DataFrame, ref_gdfs=None, ring_field: str = "cost_budge
         rings = with_geometry(rings, shapes(lambda g: G.simplify(g, ring_simplify_tolerance), "binary")(F.col(GEOM)))
     left = df.select(ROW, (st_centroid(GEOM) if use_centroid else F.col(GEOM)).alias(GEOM))
     hit = pairs(left, identified(rings), "within" if use_centroid else "intersects").groupBy(F.col(f"l_{ROW}").alias("_l")).agg(F.min(f"r_{ring_field}").cast("double").alias(value_col))
-    values = sorted(r[0] for r in rings.select(F.col(ring_field).cast("double")).where(F.col(ring_field).isNotNull()).distinct().collect())  # ring values: a handful
+    values = sorted(r[0] for r in rings.select(F.col(ring_field).cast("double")).where(F.col(ring_field).isNotNull()).distinct().limit(MOST_RINGS + 1).collect())
+    if len(values) > MOST_RINGS:
+        raise ValueError(f"{ring_field} has more than {MOST_RINGS} values")
     out = df.join(hit, F.col(ROW) == F.col("_l"), "left").drop("_l").withColumn(value_col, F.coalesce(value_col, F.lit(float(outside_value))))
     rank = F.lit(len(values) + 1)
     for i, v in enumerate(values):

@@ -80,3 +80,23 @@ def test_points_meet_all_lines(spark, folder):
     for s, m, e in rows(spark, far, "line_locate_point"):
         p = at[s]
         assert off(p, at[kept[e][0]], at[kept[e][1]]) == pytest.approx(min(off(p, at[u], at[v]) for u, v, _ in kept.values()), abs=1e-6)
+
+
+@pytest.mark.parametrize("end", [60])
+def test_shortest_path_edge_by_edge(spark, folder, end):
+    """Consecutive edges from the start to the end, with the costs so far, which end at the least one."""
+    x, y = end * 7919 % 10007, end * 104729 % 10007
+    path = Q.apply("shortest_path", Q.network(spark, folder), start_x=7919.0, start_y=4659.0, end_x=float(x), end_y=float(y), weight_col="w").select("p_partkey", "step", "path_order", "path_cost").collect()
+    at, cost = 1, 0.0
+    assert [r.path_order for r in path] == list(range(len(path)))
+    for r in path:
+        u, v, w = EDGES[r.p_partkey * 10 + r.step]
+        at, cost = (v if at == u else u), cost + w
+        assert r.path_cost == cost
+    assert at == end and cost == costs(1)[end]
+
+
+def test_no_path(spark, folder):
+    """Part 10005 is in another component."""
+    x, y = 10005 * 7919 % 10007, 10005 * 104729 % 10007
+    assert Q.apply("shortest_path", Q.network(spark, folder), start_x=7919.0, start_y=4659.0, end_x=float(x), end_y=float(y), weight_col="w").count() == 0
