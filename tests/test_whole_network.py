@@ -97,6 +97,6 @@ def test_shortest_path_edge_by_edge(spark, folder, end):
 
 
 def test_no_path(spark, folder):
-    """Part 10005 is in another component."""
+    """From part 10005 to part 1, which is in another component."""
     x, y = 10005 * 7919 % 10007, 10005 * 104729 % 10007
-    assert Q.apply("shortest_path", Q.network(spark, folder), start_x=7919.0, start_y=4659.0, end_x=float(x), end_y=float(y), weight_col="w").count() == 0
+    assert Q.apply("shortest_path", Q.network(spark, folder), start_x=float(x), start_y=float(y), end_x=7919.0, end_y=4659.0, weight_col="w").count() == 0
