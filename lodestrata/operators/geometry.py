@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -29,7 +30,9 @@ def _grouped(df: DataFrame, f, by_group=None, dissolve: bool = False) -> DataFra
     by = _names(by_group)
     parts = identified(df).withColumn("_part", F.pmod(F.xxhash64(ROW), F.lit(64))).groupBy(*by, "_part").agg(F.collect_list(GEOM).alias("_g"))
     together = many_shapes(lambda s: G.Shape("MultiPoint", parts=[G.point(*p) for p in np.unique(np.concatenate([x.all_coords()[:, :2] for x in s if not x.empty] or [np.zeros((0, 2))]), axis=0)]))
-    out = parts.withColumn("_g", together("_g")).groupBy(*by).agg(F.collect_list("_g").alias("_g"))
+    parts = parts.withColumn("_g", together("_g"))
+    # a task for few groups: their points are small, which would put many groups together, but their work isn't
+    out = (parts.repartition(4 * max(df.sparkSession.sparkContext.defaultParallelism, 2), *by) if by else parts).groupBy(*by).agg(F.collect_list("_g").alias("_g"))
     return with_srid(out.select(*by, many_shapes(lambda s: f(np.concatenate([x.all_coords() for x in s] or [np.zeros((0, 2))])))("_g").alias(GEOM)), srid_of(df))
 
 
@@ -161,7 +164,7 @@ def _longest_out(p: np.ndarray, limit, edges: bool) -> G.Shape:
             return la * lb * lc / (4 * s) if s else math.inf
 
         keep = [t for t in tri if circum(t) < limit]
-        return G.union([G.polygon(p[list(t)]) for t in keep]) if keep else G.Shape("Polygon")
+        return G.area_of_triangles(p, keep) if keep else G.Shape("Polygon")
     long = lambda a, b: float(np.hypot(*(p[a] - p[b])))
     sides = [long(a, b) for t in tri for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))]
     most = min(sides) + limit * (max(sides) - min(sides))
@@ -170,27 +173,29 @@ def _longest_out(p: np.ndarray, limit, edges: bool) -> G.Shape:
     for t in live:
         for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
             own.setdefault((min(a, b), max(a, b)), []).append(t)
-    changed = True
-    while changed:
-        changed = False
-        border = sorted(((long(*e), e) for e, ts in own.items() if len(ts) == 1), reverse=True)
-        rim = {v for _, e in border for v in e}
-        for d, e in border:
-            if d <= most:
-                break
-            t = own[e][0]
-            tip = next(v for v in t if v not in e)
-            if tip in rim or len(live) == 1:
-                continue
-            live.remove(t)
-            for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                k = (min(a, b), max(a, b))
-                own[k].remove(t)
-                if not own[k]:
-                    del own[k]
-            changed = True
+    # the longest border side first; the rim only grows, so a side that is passed over once is so for good
+    border = [(-long(*e), (-e[0], -e[1])) for e, ts in own.items() if len(ts) == 1]
+    rim = {-v for _, e in border for v in e}
+    heapq.heapify(border)
+    while border:
+        d, e = heapq.heappop(border)
+        e = (-e[0], -e[1])
+        if -d <= most or len(live) == 1:
             break
-    return G.union([G.polygon(p[list(t)]) for t in live])
+        t = own[e][0]
+        tip = next(v for v in t if v not in e)
+        if tip in rim:
+            continue
+        live.remove(t)
+        rim.add(tip)
+        for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
+            k = (min(a, b), max(a, b))
+            own[k].remove(t)
+            if not own[k]:
+                del own[k]
+            else:
+                heapq.heappush(border, (-long(*k), (-k[0], -k[1])))
+    return G.area_of_triangles(p, [t for t in tri if tuple(t) in live])
 
 
 @operator("concave_hull", "scalar")
