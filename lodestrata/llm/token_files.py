@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import new_path, shuffle_partitions, tidy
+from .common import give_back, new_path, shuffle_partitions, small_batches, tidy
 
 MAGIC = b"LSTB"
 BLOCK_IDS = 1 << 21
 #: Bytes of text encoded together.
 PORTION = 4 << 20
+#: Rows of a batch that the packer gets.
+BATCH_ROWS = 1024
 #: Strings kept by a Python worker with their ids; beyond it the store is emptied.
 MEMO = 400_000
 
@@ -272,8 +274,10 @@ def _packer(tokenizer: str, end_id: int, block_ids: int) -> Callable:
 
         def close() -> pa.RecordBatch:
             nonlocal block, offset, docs, lengths, ids, held
-            n = np.concatenate(lengths)
-            data = pack(docs, n, np.concatenate(ids), max(tok.vocab, end_id + 1))
+            n, flat = np.concatenate(lengths), np.concatenate(ids)
+            ids = []
+            give_back()
+            data = pack(docs, n, flat, max(tok.vocab, end_id + 1))
             out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n_docs": pa.array([len(docs)], pa.int32()), "n_ids": [held], "part_offset": [offset], "data": [data]})
             block, offset, docs, lengths, ids, held = block + 1, offset + held, [], [], [], 0
             return out
@@ -298,6 +302,7 @@ def _packer(tokenizer: str, end_id: int, block_ids: int) -> Callable:
                     done = cut
                     if held >= block_ids or done < len(n):
                         yield close()
+                got = full = None  # else they stand beside the next portion's
         if docs:
             yield close()
 
@@ -319,7 +324,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)))
     names = [f"_key{i}" for i in range(len(keys))]
     rows = rows.repartitionByRange(shuffle_partitions(spark), *names).sortWithinPartitions(*names).select("doc_id", "text")
-    rows.mapInArrow(tidy(_packer(tokenizer, end_id, block_ids)), BLOCKS).write.option("compression", "uncompressed").parquet(path)
+    with small_batches(spark, BATCH_ROWS):
+        rows.mapInArrow(tidy(_packer(tokenizer, end_id, block_ids)), BLOCKS).write.option("compression", "uncompressed").parquet(path)
     return path
 
 

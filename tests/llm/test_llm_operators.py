@@ -320,6 +320,30 @@ def test_token_files(spark, docs, name):
     assert token_files.token_digests(spark, token_files.write_tokens(odd.limit(0), path)).count() == 0
 
 
+def test_packer_gets_small_batches(spark, monkeypatch):
+    """(pipeline) A task's rows don't stand in its worker at once, and the session keeps its own setting."""
+    real = token_files._packer
+
+    def watched(*args):
+        def run(batches):
+            def checked():
+                for batch in batches:
+                    assert batch.num_rows <= 1024
+                    yield batch
+
+            yield from real(*args)(checked())
+
+        return run
+
+    monkeypatch.setattr(token_files, "_packer", watched)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(12_000).selectExpr("id as doc_id", "concat('text ', id % 7) as text").coalesce(1)
+    out = token_files.token_digests(spark, token_files.write_tokens(docs, PATH)).orderBy("doc_id").collect()
+    assert [r.doc_id for r in out] == list(range(12_000)) and spark.conf.get(key) == before
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(out, out[1:], strict=False))
+
+
 def test_damaged_block():
     data = token_files.pack([1, None], np.array([2, 1]), np.array([5, 0, 0], np.uint32), 50_257)
     names, n, ids = token_files.unpack(data)
