@@ -30,7 +30,9 @@ class Model:
         self.vocab, self.decoding = vocab, decoding
         self.id_bits = max(20, int(vocab).bit_length() + 4)
         self.bits = U(self.id_bits + WEIGHT_BITS)
-        self.shift = U(self.id_bits)
+        # shares of the range: in half words where they fit
+        self.kind = I32 if self.bits < 32 else U
+        self.shift = self.kind(self.id_bits)
         # id and confidence in one number: 0 nothing seen, 1 seen, 2 and 3 right once or more in a row
         self.one = np.full(vocab + 1, vocab + 1 << 2, I32)
         self.two = np.full(1 << SLOTS, vocab + 1 << 2, I32)
@@ -49,26 +51,29 @@ class Model:
         f = 1 + self.counts * (whole - self.vocab) // max(1, int(self.counts.sum()))
         f[0] += whole - int(f.sum())
         ends = np.cumsum(f)
-        self.freq = np.append(f, [0, 0]).astype(U)
-        self.start = np.concatenate([[0], ends, [whole]]).astype(U)
+        self.freq = np.append(f, [0, 0]).astype(self.kind)
+        self.start = np.concatenate([[0], ends, [whole]]).astype(self.kind)
         if self.decoding:
             self.holder = np.repeat(np.arange(self.vocab, dtype=np.uint16 if self.vocab <= 1 << 16 else I32), f)
 
     def reweigh(self) -> None:
         w = 1 + (self.shares * (((1 << WEIGHT_BITS) - 3) / self.shares.sum(1, keepdims=True))).astype(np.int64)
         w[:, 0] += (1 << WEIGHT_BITS) - w.sum(1)
-        self.w0, self.w1, self.w2 = (np.ascontiguousarray(c) for c in w.astype(U).T)
+        self.w0, self.w1, self.w2 = (np.ascontiguousarray(c) for c in w.astype(self.kind).T)
+        self.m1, self.m2 = self.w1 << self.shift, self.w2 << self.shift
 
     def predict(self, last: np.ndarray, before: np.ndarray):
         """The place of the two ids before, what is stored for them, and the ids of order 1 and 2 and the weights' row."""
         h = ((before.view(U) * U(0x9E3779B97F4A7C15) + last.view(U)) * U(0xD6E8FEB86659FD93) >> U(64 - SLOTS)).astype(np.int64)
-        s1, s2 = self.one[last], self.two[h]
-        p1, p2 = (s1 >> I32(2)).astype(np.int64), (s2 >> I32(2)).astype(np.int64)
+        s1, s2 = self.one.take(last), self.two.take(h)
+        p1, p2 = s1 >> I32(2), s2 >> I32(2)
         row = ((s2 & I32(3)) << I32(2)) + (s1 & I32(3)) + ((p1 == p2).astype(I32) << I32(4))
         return h, s1, s2, p1, p2, row.astype(np.int64)
 
-    def learn(self, x, last, h, s1, s2, p1, p2, row, w0, m1, m2) -> None:
-        e1, e2 = x == p1, x == p2
+    def learn(self, x, last, h, s1, s2, p1, p2, row, w0, m1, m2, e1=None, e2=None) -> None:
+        """e1, e2: where the predictions were right, if that is known."""
+        if e1 is None:
+            e1, e2 = x == p1, x == p2
         weigh = self.step < 32 or self.step % 8 == 0  # later on an eighth of the ids tells enough
         hit = np.flatnonzero(e1 | e2) if weigh else ()
         if len(hit):
@@ -82,7 +87,7 @@ class Model:
         if weigh:
             self.shares[:, 0] += np.bincount(row, minlength=32)
             self.reweigh()
-        new = (x << 2 | 1).astype(I32)  # surer by one, 3 at most, where it was right
+        new = x << I32(2) | I32(1)  # surer by one, 3 at most, where it was right
         self.one[last] = new + e1 * np.minimum(s1 & I32(3), I32(2))
         self.two[h] = new + e2 * np.minimum(s2 & I32(3), I32(2))
         self.seen.append(x)
@@ -119,36 +124,37 @@ def encode(ids: np.ndarray, vocab: int) -> np.ndarray:
         a = _rows(n, lanes, steps, t)
         if not a:
             break
-        x, la = grid[t, :a].astype(np.int64), last[:a]
+        x, la = grid[t, :a], last[:a]
+        at = x.astype(np.int64)
         h, s1, s2, p1, p2, row = model.predict(la, before[:a])
-        w0, w1, w2 = model.w0[row], model.w1[row], model.w2[row]
-        m1, m2 = w1 << model.shift, w2 << model.shift
-        start = w0 * model.start[x] + m1 * (p1 < x) + m2 * (p2 < x)
-        freq = w0 * model.freq[x] + m1 * (p1 == x) + m2 * (p2 == x)
+        w0, m1, m2 = model.w0.take(row), model.m1.take(row), model.m2.take(row)
+        e1, e2 = p1 == x, p2 == x
+        start = w0 * model.start.take(at) + m1 * (p1 < x) + m2 * (p2 < x)
+        freq = w0 * model.freq.take(at) + m1 * e1 + m2 * e2
         r = rng[:a] >> model.bits
-        start *= r
+        start = start * r
         low[:a] += start
         over = np.flatnonzero(low[:a] < start)
-        freq *= r
+        freq = freq * r
         rng[:a] = freq
-        at = place[over]
-        while len(at):  # a carry goes into the words before
-            at = at - lanes
-            words[at] += np.uint16(1)
-            at = at[words[at] == 0]
+        carry = place[over]
+        while len(carry):  # a carry goes into the words before
+            carry = carry - lanes
+            words[carry] += np.uint16(1)
+            carry = carry[words[carry] == 0]
         todo = np.flatnonzero(freq < LEAST)
         while len(todo):
-            lo, at = low[todo], place[todo]
-            words[at] = lo >> U(48)
-            order.append(at.astype(I32))
-            place[todo] = at + lanes
+            lo, to = low[todo], place[todo]
+            words[to] = lo >> U(48)
+            order.append(to.astype(I32))
+            place[todo] = to + lanes
             low[todo] = lo << U(16)
             wide = rng[todo] << U(16)
             rng[todo] = wide
             todo = todo[wide < LEAST]
-        model.learn(x, la, h, s1, s2, p1, p2, row, w0, m1, m2)
+        model.learn(x, la, h, s1, s2, p1, p2, row, w0, m1, m2, e1, e2)
         before[:a] = la
-        last[:a] = x
+        last[:a] = at
     for _ in range(4):
         words[place] = low >> U(48)
         low <<= U(16)
@@ -172,30 +178,30 @@ def decode(words: np.ndarray, n: int, vocab: int) -> np.ndarray:
             break
         la, c = last[:a], code[:a]
         h, s1, s2, p1, p2, row = model.predict(la, before[:a])
-        w0, w1, w2 = model.w0[row], model.w1[row], model.w2[row]
+        w0, m1, m2 = model.w0.take(row), model.m1.take(row), model.m2.take(row)
         r = rng[:a] >> model.bits
-        v = c // r
-        m1, m2 = w1 << model.shift, w2 << model.shift
+        v = (c // r).astype(model.kind)
         # where the predicted ids' shares start, and how wide they are
         both = p1 == p2
-        start1 = w0 * model.start[p1] + m2 * (p2 < p1)
-        start2 = w0 * model.start[p2] + m1 * (p1 < p2)
-        wide1 = w0 * model.freq[p1] + m1 + m2 * both
-        wide2 = w0 * model.freq[p2] + m2 + m1 * both
+        i1, i2 = p1.astype(np.int64), p2.astype(np.int64)
+        start1 = w0 * model.start.take(i1) + m2 * (p2 < p1)
+        start2 = w0 * model.start.take(i2) + m1 * (p1 < p2)
+        wide1 = w0 * model.freq.take(i1) + m1 + m2 * both
+        wide2 = w0 * model.freq.take(i2) + m2 + m1 * both
         hit1, hit2 = v - start1 < wide1, v - start2 < wide2
-        x, start, freq = p1.copy(), start1.copy(), wide1
+        x, start, freq = i1, start1.copy(), wide1
         k = np.flatnonzero(hit2)
-        x[k], start[k], freq[k] = p2[k], start2[k], wide2[k]
+        x[k], start[k], freq[k] = i2[k], start2[k], wide2[k]
         new = np.flatnonzero(~(hit1 | hit2))
         if len(new):
             u, w = v[new], w0[new]
             past = (u > start1[new]) * m1[new] + (u > start2[new]) * m2[new]
-            y = model.holder[((u - past) // w).view(np.int64)].astype(np.int64)
+            y = model.holder[((u - past) // w).astype(np.int64)].astype(np.int64)
             x[new] = y
             start[new] = w * model.start[y] + past
             freq[new] = w * model.freq[y]
         c -= start * r
-        freq *= r
+        freq = freq * r
         rng[:a] = freq
         todo = np.flatnonzero(freq < LEAST)
         while len(todo):
@@ -205,7 +211,7 @@ def decode(words: np.ndarray, n: int, vocab: int) -> np.ndarray:
             rng[todo] = wide
             todo = todo[wide < LEAST]
         grid[t, :a] = x
-        model.learn(x, la, h, s1, s2, p1, p2, row, w0, m1, m2)
+        model.learn(grid[t, :a], la, h, s1, s2, p1, p2, row, w0, m1, m2, hit1, hit2)
         before[:a] = la
         last[:a] = x
     return np.ascontiguousarray(grid.T).ravel()[:n]

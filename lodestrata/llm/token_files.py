@@ -39,8 +39,10 @@ BLOCK_IDS = 1 << 21
 PORTION = 4 << 20
 #: Rows of a batch that the packer gets.
 BATCH_ROWS = 1024
-#: Strings kept by a Python worker with their ids; beyond it the store is emptied.
-MEMO = 400_000
+#: Strings kept by a Python worker with their ids, and their bytes; beyond it those stay that more than one portion had.
+MEMO, MEMO_BYTES = 400_000, 16 << 20
+#: New strings in one call of the tokenizer.
+CALL = 4096
 
 #: Marks, a run of which a byte-level tokenizer cuts off the letters before it.
 MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
@@ -66,6 +68,16 @@ class Index:
         at = pc.fill_null(pc.index_in(strings, value_set=self.names[0]), -1).to_numpy(zero_copy_only=False)
         return self.numbers[0][at + 1]
 
+    def bytes_of(self, stay: np.ndarray) -> int:
+        """Bytes of the strings whose number stays."""
+        return int(sum(pc.binary_length(n).to_numpy()[stay[k]].sum() for n, k in zip(self.names, [self.numbers[0][1:], *self.numbers[1:]], strict=True)))
+
+    def keep(self, stay: np.ndarray, number: np.ndarray) -> None:
+        """Only the strings whose number stays, with new numbers."""
+        old = np.concatenate(self.numbers)[1:]
+        self.names = [pa.concat_arrays(self.names).filter(pa.array(stay[old]))]
+        self.numbers = [np.concatenate([[-1], number[old[stay[old]]]]).astype(np.int32)]
+
 
 class Tokens:
     """Ids of whole texts by a tokenizer of the `tokenizers` library.
@@ -79,7 +91,7 @@ class Tokens:
     _of: dict[str, Tokens] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         pre = json.loads(self.tok.pre_tokenizer.__getstate__()) if self.tok.pre_tokenizer else {}
@@ -91,6 +103,19 @@ class Tokens:
         ends = self.whole(["\n", "a\n b\nc"])
         self.line_end = ends[0][0] if ends[0] else -1
         self.pieces = self.pieces and len(ends[0]) == 1 and ends[1].count(self.line_end) == 2
+        # the same model without the search for pieces, for words known to be one: its text has a character for each byte
+        self.letter = np.zeros(1 << 11, bool)
+        if self.pieces and not any(t.content.isalpha() for t in self.tok.get_added_tokens_decoder().values()):
+            cut = self.tok.pre_tokenizer.pre_tokenize_str
+            self.letter[:] = [len(cut(f" a{chr(c)}a")) == 1 for c in range(len(self.letter))]
+            self.words = Tokenizer(self.tok.model)
+            self.words.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+            seen = [b for b in range(256) if 33 <= b < 127 or 161 <= b != 173]
+            shown = dict(zip([*seen, *(b for b in range(256) if b not in seen)], [*seen, *range(256, 512)], strict=False))
+            shown = [chr(shown[b]).encode() for b in range(256)] + [b" "]  # the last is the cut
+            self.shown = np.frombuffer(b"".join(shown), np.uint8)
+            self.shown_length = np.array([len(x) for x in shown], np.int32)
+            self.shown_start = np.cumsum(self.shown_length, dtype=np.int32) - self.shown_length
         self.clear()
 
     @classmethod
@@ -103,52 +128,101 @@ class Tokens:
         """An empty store, in which number 0 has no ids."""
         self.spaced, self.plain = Index(), Index()
         self.flat, self.start, self.length = np.zeros(1 << 20, np.uint32), np.zeros(1, np.int32), np.zeros(1, np.int32)
-        self.filled = 0
+        self.used = np.zeros(1, np.int32)  # portions that had the string
+        self.filled = self.held = 0
+
+    def make_room(self) -> None:
+        """Strings of a single portion go; if the store stays more than half full, all go."""
+        stay = self.used > 1
+        stay[0] = True
+        size = sum(i.bytes_of(stay) for i in (self.spaced, self.plain))
+        if 2 * stay.sum() > MEMO or 2 * size > MEMO_BYTES:
+            return self.clear()
+        self.spaced.keep(stay, np.cumsum(stay) - 1)
+        self.plain.keep(stay, np.cumsum(stay) - 1)
+        flat, _ = _gather(self.flat, self.start, self.length, np.flatnonzero(stay))
+        self.length = self.length[stay]
+        self.start = np.cumsum(self.length, dtype=np.int32) - self.length
+        self.flat = np.zeros(max(1 << 20, len(flat)), np.uint32)
+        self.flat[: len(flat)] = flat
+        self.used, self.filled, self.held = np.zeros(len(self.length), np.int32), len(flat), size
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _numbers(self, strings: pa.Array, index: Index, space: str) -> np.ndarray:
-        """Places in the store; new strings are encoded first."""
+        """Places in the store; new strings are encoded first. Each string is there once."""
         at = index.of(strings)
         missing = np.flatnonzero(at < 0)
-        if not len(missing):
-            return at
-        new = strings.take(pa.array(missing))
-        ids, sizes = self._encode_new(new.to_pylist(), space)
-        while self.filled + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.filled : self.filled + len(ids)] = ids
-        first = len(self.start)
-        self.start = np.concatenate([self.start, (self.filled + np.cumsum(sizes) - sizes).astype(np.int32)])
-        self.length = np.concatenate([self.length, sizes.astype(np.int32)])
-        self.filled += len(ids)
-        index.extend(new, first)
-        at[missing] = np.arange(first, first + len(new))
+        if len(missing):
+            one = self._one_piece(strings.take(pa.array(missing)))
+            missing = np.concatenate([missing[one], missing[~one]])
+            new = strings.take(pa.array(missing))
+            ids, sizes = self._encode_new(new, int(one.sum()), space)
+            while self.filled + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.filled : self.filled + len(ids)] = ids
+            first = len(self.start)
+            self.start = np.concatenate([self.start, (self.filled + np.cumsum(sizes) - sizes).astype(np.int32)])
+            self.length = np.concatenate([self.length, sizes.astype(np.int32)])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int32)])
+            self.filled += len(ids)
+            self.held += pc.sum(pc.binary_length(new)).as_py()
+            index.extend(new, first)
+            at[missing] = np.arange(first, first + len(new))
+        self.used[at] += 1
         return at
 
-    def _encode_new(self, strings: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
-        """Many pieces in one text, with a line end between each two where they have no space, which the tokenizer keeps to itself.
-
-        No token reaches over a space's start or a line end, so the tokens' lengths in bytes tell the pieces apart.
+    def _one_piece(self, strings: pa.Array) -> np.ndarray:
+        """Which strings, none of them empty, consist of letters that the tokenizer doesn't cut apart; those over U+07FF aren't looked at."""
+        data, at = _bytes(strings)
+        here = data[at[0] : at[-1]]
+        low = np.append(here[1:], 0).astype(np.int64) & 63
+        point = np.where(here < 128, here, (here & 31).astype(np.int64) << 6 | low)
+        good = self.letter[point] & (here < 224) | (here >> 6 == 2)
+        return np.logical_and.reduceat(good, at[:-1] - at[0])
+
+    def _shown(self, strings: pa.Array, space: str) -> str:
+        """Words in the model's own characters, with a cut between each two."""
+        data, at = _bytes(strings)
+        n, size, ahead = len(strings), np.diff(at), 1 + len(space)
+        which = np.full(int(at[-1] - at[0]) + n * ahead, 256, np.int64)
+        begin = at[:-1] - at[0] + np.arange(n) * ahead
+        if space:
+            which[begin + 1] = 32
+        body = np.arange(at[0], at[-1]) - at[0] + np.repeat(np.arange(1, n + 1) * ahead, size)
+        which[body] = data[at[0] : at[-1]]
+        return _gather(self.shown, self.shown_start, self.shown_length, which[1:])[0].tobytes().decode()
+
+    def _encode_new(self, strings: pa.Array, one: int, space: str) -> tuple[np.ndarray, np.ndarray]:
+        """Many strings in one text. The first `one` of them are single pieces, which are cut apart as they are.
+
+        Others have a line end between each two where they have no space, which the tokenizer keeps to itself. No token reaches
+        over a space's start or a line end, so the tokens' lengths in bytes tell the strings apart.
         """
         ids, sizes = [], []
-        for lo in range(0, len(strings), 4096):
-            part = strings[lo : lo + 4096]
-            got = np.array(self.tok.encode_batch_fast([space + (space or "\n").join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            # a byte for the space before each, or for the line end before each but the first
-            ends = np.cumsum([len(x.encode()) for x in part]) + np.arange(len(part)) + len(space)
+        for lo, hi in [(k, min(k + CALL, one)) for k in range(0, one, CALL)] + [(k, min(k + CALL, len(strings))) for k in range(one, len(strings), CALL)]:
+            some = strings.slice(lo, hi - lo)
+            ends = np.cumsum(pc.binary_length(some).to_numpy().astype(np.int64))
+            if hi <= one:
+                got = self.words.encode_batch_fast([self._shown(some, space)], add_special_tokens=False)[0].ids
+                ends += np.arange(1, hi - lo + 1) * len(space)
+            else:
+                got = self.tok.encode_batch_fast([space + (space or "\n").join(some.to_pylist())], add_special_tokens=False)[0].ids
+                # a byte for the space before each, or for the line end before each but the first
+                ends += np.arange(hi - lo) + len(space)
+            got = np.array(got, np.uint32)
             reach = np.cumsum(self.bytes[got])
             at = np.searchsorted(reach, ends)
             if len(got) and at[-1] == len(got) - 1 and (reach[at] == ends).all():
                 counts = np.diff(at, prepend=-1)
-                if not space:  # the line ends go
+                if hi > one and not space:  # the line ends go
                     got = np.delete(got, at[:-1] + 1)
                     counts[1:] -= 1
                 ids.append(got)
                 sizes.append(counts)
             else:  # pragma: no cover  another vocabulary
-                each = self.whole([space + x for x in part])
+                each = self.whole([space + x for x in some.to_pylist()])
                 ids.append(np.fromiter(chain.from_iterable(each), np.uint32))
                 sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
         return np.concatenate(ids), np.concatenate(sizes)
@@ -181,8 +255,8 @@ class Tokens:
             return np.fromiter(chain.from_iterable(got), np.uint32), np.array([len(g) for g in got], np.int64)
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.start) > MEMO:
-            self.clear()
+        if len(self.start) > MEMO or self.held > MEMO_BYTES:
+            self.make_room()
         lines = pc.split_pattern(texts, "\n")
         line_at = lines.offsets.to_numpy() - lines.offsets[0].as_py()
         split = pc.split_pattern(lines.flatten(), " ")

@@ -302,6 +302,40 @@ def test_pieces_equal_whole_texts():
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in want]
 
 
+def test_known_pieces_stay_in_the_store(monkeypatch):
+    """(op6) Words that come again aren't encoded again when the store is full, and ids stay those of whole texts."""
+    import pyarrow as pa
+
+    rng, asked = random.Random(2), []
+    real = token_files.Tokens._encode_new
+    monkeypatch.setattr(token_files.Tokens, "_encode_new", lambda self, strings, *rest: asked.extend(strings.to_pylist()) or real(self, strings, *rest))
+    monkeypatch.setattr(token_files, "MEMO", 400)
+    monkeypatch.setattr(token_files, "CALL", 7)
+    word = lambda: "".join(rng.choice("abcdefghéñßабвגד\u0301ǅ日ｱ") for _ in range(rng.randint(1, 9)))
+    common = [word() for _ in range(60)]
+    tok = token_files.Tokens(PATH)
+    for _ in range(12):
+        texts = [" ".join(rng.sample([*common, *(word() + rng.choice(["", "!!", "'s"]) for _ in range(30))], 90)) for _ in range(3)] + [" ".join(common)]
+        ids, n = tok.encode(pa.array(texts))
+        at = np.concatenate([[0], np.cumsum(n)])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in tok.tok.encode_batch(texts, add_special_tokens=False)]
+        assert len(tok.start) == len(tok.length) == len(tok.used) == 1 + sum(map(len, tok.spaced.names)) + sum(map(len, tok.plain.names)) - 2
+    assert len(tok.start) < 800
+    often = Counter(x for x in asked if x in set(common[1:]))
+    assert max(often.values()) <= 3  # after a space, at a text's start
+
+
+def test_few_letters_are_cut_by_the_tokenizer():
+    """(op6) Words of letters go to the model without a search for pieces; what is a letter the tokenizer itself has told."""
+    tok = token_files.Tokens(PATH)
+    assert [chr(c) for c in range(128) if tok.letter[c]] == [chr(c) for c in range(128) if chr(c).isalpha()]
+    import pyarrow as pa
+
+    words = pa.array(["abc", "éß", "a1", "дом", "日本", "e\u0301", "it's", "x!"], pa.large_string())
+    assert tok._one_piece(words).tolist() == [True, True, False, True, False, False, False, False]
+    assert tok._one_piece(words.slice(1, 3)).tolist() == [True, False, True]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_token_files(spark, docs, name):
     path = public_tokenizers.path(name)
