@@ -501,7 +501,11 @@ def many_list(f):
 @operator("polygonize", "table")
 def polygonize(df: DataFrame, keep_attrs: bool = False) -> DataFrame:
     """Faces of the noded lines. keep_attrs: each face takes the attributes of the first line on its border."""
-    faces = _layer_shapes(df, lambda s: G.polygonize([p.coords for g in s for p in g.simple() if p.kind == "LineString"] + [r for g in s for p in g.simple() for r in p.rings]))
+    from . import noding as D
+
+    segs = D.segments(df)
+    far = segs.agg(F.max(F.greatest(*[F.abs(c) for c in ("x0", "y0", "x1", "y1")]))).first()[0] or 0.0
+    faces = D.faces(D.noded(segs, 1e-11 * max(1.0, far)), srid_of(df))
     if not keep_attrs:
         return faces
     from .layer import pairs
